@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normspark.llm import fraction_cutoff, split_overlap, stable_sample
+from normspark.llm import fraction_cutoff, nearest_vectors, split_overlap, stable_sample
 from normspark.session import cut, table
 
 
@@ -38,6 +38,20 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.report(_overlaps(spark, sf_dir), table(spark, sf_dir, "manifest"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of patches of which a probe has the other among its 10 most similar."""
+    probes = table(spark, sf_dir, "probe_patches").select(F.col("patch_id").alias("id"))
+    found = nearest_vectors.patch_neighbours(table(spark, sf_dir, "patches"), table(spark, sf_dir, "memory_stats"), probes)
+    return found.select(F.least("query_id", "id").alias("patch_a"), F.greatest("query_id", "id").alias("patch_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar patches of every patch whose id is divisible by 100, against all patches."""
+    patches = table(spark, sf_dir, "patches")
+    asked = patches.where("patch_id % 100 = 0").select(F.col("patch_id").alias("id"))
+    return nearest_vectors.patch_neighbours(patches, table(spark, sf_dir, "memory_stats"), asked).select("query_id", "place", "id", F.round("cosine", 4).alias("cosine"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that the cutoff of their source doesn't keep."""
     base, found = fraction_cutoff.calibrated(table(spark, sf_dir, "calibration_scores"), table(spark, sf_dir, "experiment_settings"))
@@ -51,7 +65,7 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p5_found, p5_cutoffs)
+    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs)
 }
 
 ORACLES: dict[str, str] = {}
