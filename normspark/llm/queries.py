@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normspark.llm import fraction_cutoff, nearest_vectors, split_overlap, stable_sample
+from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, split_overlap, stable_sample
 from normspark.session import cut, table
 
 
@@ -64,8 +64,28 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraction_cutoff.report(base, cut(found))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return corpus_tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the words of a passage of an item in a row."""
+    return leaked_passages.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), exact=True).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an item within the edits, and how it differs."""
+    return leaked_passages.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items and the number of documents that reveal them."""
+    return leaked_passages.per_item(p7_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs)
+    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items)
 }
 
 ORACLES: dict[str, str] = {}
