@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from normspark.session import require
 
 #: Words of a passage, characters of a gram, and edits that a passage may differ by.
-WORDS, Q, EDITS = 12, 12, 2
+WORDS, Q, EDITS = 12, 8, 1
 #: Items sent to the executors at once.
 BLOCK_ITEMS = 4_096
 #: Characters of documents whose grams are hashed at once.
@@ -87,6 +87,7 @@ class Item:
             while edits and b - a + 1 - Q - Q * edits < 1:
                 edits -= 1
             self.windows.append((a, b, b - a + 1 - Q - Q * edits, edits))
+        self.begin, self.end, self.least, self.edits = np.array(self.windows, np.int64).T
         self.hashes = gram_hashes(self.text)
 
     def short(self) -> bool:
@@ -195,11 +196,16 @@ class Index:
     def _verified(x: Item, text: str, own: np.ndarray, diagonal: np.ndarray) -> tuple[int, int, int] | None:
         """The best aligned window among those whose shared grams in the band meet their bound."""
         have = np.zeros(len(x.hashes) + 1, np.int64)
-        have[1:] = np.cumsum(np.bincount(np.unique(own), minlength=len(x.hashes)))
+        have[own + 1] = 1
+        have = np.cumsum(have)
+        shared = have[x.end - Q + 1] - have[x.begin]
+        fit = np.flatnonzero(shared >= x.least)
+        if not len(fit):
+            return None
         base, top = int(diagonal.min()), int(diagonal.max())
-        fit = [(int(have[e - Q + 1] - have[a]), a, e, edits) for a, e, least, edits in x.windows if have[e - Q + 1] - have[a] >= least]
         best: tuple[int, int, int] | None = None
-        for _, a, e, edits in sorted(fit, reverse=True):
+        for w in fit[np.argsort(-shared[fit], kind="stable")].tolist():
+            a, e, _, edits = x.windows[w]
             cost = aligned(x.text[a:e], text[max(0, base + a - edits) : top + e + edits], edits)
             if cost is not None and (best is None or (cost, a, e) < best):
                 best = (cost, a, e)
