@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, split_overlap, stable_sample
+from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, split_overlap, stable_sample, text_quality
 from normspark.session import cut, table
 
 
@@ -84,8 +84,18 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages.per_item(p7_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which less than half stands in running sentences."""
+    return text_quality.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")).where("not_prose").select("doc_id")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document with percentiles, robust z-scores and tails."""
+    return text_quality.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items)
+    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items, p8_found, p8_profile)
 }
 
 ORACLES: dict[str, str] = {}
