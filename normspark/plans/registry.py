@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normspark.plans import drift_queries
+from normspark.plans import drift_queries, study_queries
 
-MODULES = [drift_queries]
+MODULES = [study_queries, drift_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p4_found"](spark, sf_dir)
+    """Conformal three-way decisions with operating metrics per category."""
+    return queries()["selective_metrics"](spark, sf_dir)
