@@ -41,7 +41,7 @@ from normspark.session import broadcast_if_small, cut, require
 #: Fixed seed of the lines; the index is the same in every run.
 SEED = 20250117
 #: Signed lines under which a vector is stored and a query looks.
-STORE, PROBE = 3, 8
+STORE, PROBE = 2, 10
 #: Vectors per cell aimed at, and the most that are held as one block of sorted arrays.
 CELL_ROWS, BLOCK = 2_000, 16_384
 #: Signed lines at least and at most.
@@ -300,12 +300,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
     found = spread.repartition("cell").sortWithinPartitions("cell", F.desc("stored")).mapInArrow(_search(dimension, k), "query_id long, id long, cosine double")
     best = cut(_best_of(found, k))
     # queries with too few: exactly, in blocks of a fixed size
-    usable = marked.where("is_query").select("id", "vec")
-    short = cut(
-        usable.join(best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id"), "id", "left_anti")
-        .groupBy("id")
-        .agg(F.first("vec").alias("vec"))
-    )
+    few = cut(asked.select("id").join(best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id"), "id", "left_anti"))
+    if few.isEmpty():
+        return best
+    short = cut(rows.join(broadcast_if_small(few, BROADCAST_IDS), "id").groupBy("id").agg(F.first("vec").alias("vec")))
     left = short.count()
     if left:
         blocks = 1 if left <= EXACT_BLOCK else 2 * (left // EXACT_BLOCK + 1)
