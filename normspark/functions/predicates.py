@@ -38,4 +38,4 @@ def timestamp_ok(text: Column, now: Column, after: Column | None = None) -> Colu
 
 def percent(value: Column, places: int = 1) -> Column:
     """A share as a percentage, a dash for nothing."""
-    return F.coalesce(F.format_string(f"%.{places}f%%", value * 100), F.lit("-"))
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{places}f%%", value * 100))
