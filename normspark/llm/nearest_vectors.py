@@ -9,8 +9,9 @@ are counted by how many windows they fall in; those with at least ``THRESHOLD``
 verified by their cosine. While fewer than ``k`` verified vectors lie within the radius that the
 windows stand for, the windows are widened (virtual rehashing: the same arrays, a larger radius) up
 to ``RADII[-1]``; then the cell's best ``k`` go to the merge. The merge keeps the best ``k`` of all
-cells of a query. A query that ends with fewer than ``k`` neighbours is compared exactly, in
-blocks, with all vectors; so nothing is missing because the hashing found too little.
+cells of a query. A query whose ``k``-th neighbour lies beyond the last radius (it has no ``k`` near
+vectors, or they were missed) isn't settled by the windows and is compared exactly with all vectors, in
+blocks of ``EXACT_BLOCK`` queries.
 
 Partitions: the number of lines grows with the number of vectors, so that a cell holds about
 ``CELL_ROWS``; the vectors per line are counted first, and a line with more is split by a hash of the
@@ -258,15 +259,19 @@ def _exact(dimension: int, k: int, ids: np.ndarray, asked: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(ids, k)
+        last = np.full(len(ids), -2, np.float32)
         for batch in batches:
             own = np.asarray(batch.column("id"))
             places, x = unit_vectors(batch.column("vec"), dimension)
-            if len(x):
-                cosines = asked @ x.T
-                keep = min(2 * k, len(x))
-                for q in range(len(ids)):
-                    top = np.flatnonzero(cosines[q] >= np.partition(cosines[q], -keep)[-keep])
-                    best.add(q, own[places][top], cosines[q][top])
+            if not len(x):
+                continue
+            cosines = asked @ x.T
+            better = cosines >= last[:, None]
+            for q in np.flatnonzero(better.any(1)).tolist():
+                top = np.flatnonzero(better[q])
+                best.add(q, own[places[top]], cosines[q][top])
+                if len(best.cosines[q]) == k:
+                    last[q] = best.cosines[q][-1]
         yield best.table()
 
     return run
@@ -299,8 +304,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
     spread = marked.mapInArrow(_spread(dimension, lines, cells), "cell long, stored boolean, id long, unit binary")
     found = spread.repartition("cell").sortWithinPartitions("cell", F.desc("stored")).mapInArrow(_search(dimension, k), "query_id long, id long, cosine double")
     best = cut(_best_of(found, k))
-    # queries with too few: exactly, in blocks of a fixed size
-    few = cut(asked.select("id").join(best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id"), "id", "left_anti"))
+    # queries that the last radius doesn't settle: exactly, in blocks
+    settled = best.where((F.col("place") == k) & (F.col("cosine") >= 1 - RADII[-1] ** 2 / 2)).select(F.col("query_id").alias("id"))
+    few = cut(asked.select("id").join(settled, "id", "left_anti"))
     if few.isEmpty():
         return best
     short = cut(rows.join(broadcast_if_small(few, BROADCAST_IDS), "id").groupBy("id").agg(F.first("vec").alias("vec")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, split_overlap, stable_sample, text_quality
+from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, oracles, split_overlap, stable_sample, text_quality
 from normspark.session import cut, table
 
 
@@ -49,7 +49,7 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar patches of every patch whose id is divisible by 100, against all patches."""
     patches = table(spark, sf_dir, "patches")
     asked = patches.where("patch_id % 100 = 0").select(F.col("patch_id").alias("id"))
-    return nearest_vectors.patch_neighbours(patches, table(spark, sf_dir, "memory_stats"), asked).select("query_id", "place", "id", F.round("cosine", 4).alias("cosine"))
+    return nearest_vectors.patch_neighbours(patches, table(spark, sf_dir, "memory_stats"), asked).select("query_id", "id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items, p8_found, p8_profile)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
