@@ -92,7 +92,7 @@ def aupro(pixels: DataFrame, image: str, region: str, score: str, thresholds: in
     # from here on there are as many rows as thresholds
     curve = (
         pixels.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("_i")).join(overlap, "_i", "left").join(background, "_i", "left").crossJoin(n_regions).crossJoin(total)
-        .select("_i", (F.sum(F.coalesce("_o", F.lit(0.0))).over(upto) / F.col("_regions")).alias("pro"), (F.sum(F.coalesce("_b", F.lit(0))).over(upto) / F.col("_total")).alias("fpr"))
+        .select("_i", (F.sum(F.coalesce("_o", F.lit(0.0))).over(upto) / F.nullif(F.col("_regions"), F.lit(0))).alias("pro"), (F.sum(F.coalesce("_b", F.lit(0))).over(upto) / F.nullif(F.col("_total"), F.lit(0))).alias("fpr"))
     )
     best = curve.groupBy("fpr").agg(F.max("pro").alias("pro")).unionByName(curve.limit(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("pro"))).groupBy("fpr").agg(F.max("pro").alias("pro"))
     by_fpr = Window.orderBy("fpr")

@@ -17,6 +17,11 @@ def or_zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0.0))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def operating_metrics(df: DataFrame, keys: list[str], target: str = "target", predicted: str = "predicted") -> DataFrame:
     """Confusion counts and rates of 0/1 predictions; rates with nothing to divide by are 0 here.
 
@@ -65,14 +70,14 @@ def ranking_metrics(df: DataFrame, keys: list[str], target: str = "target", scor
         F.first("_all_n").alias("_all_n"),
         F.sum(n * (tp - p / 2.0)).alias("_area"),
         F.sum(p * tp / (tp + fp)).alias("_ap"),
-        F.min(F.when(tp / big_p >= 0.95, fp / big_n)).alias("_fpr95"),
+        F.min(F.when(tp / F.nullif(big_p, F.lit(0.0)) >= 0.95, fp / F.nullif(big_n, F.lit(0.0)))).alias("_fpr95"),
     )
     return agg.select(
         *keys,
         F.col("_all_p").alias("n_anomalous"),
         F.col("_all_n").alias("n_normal"),
-        F.when(both, F.col("_area") / (F.col("_all_p").cast("double") * F.col("_all_n").cast("double"))).alias("auroc"),
-        F.when(both, F.col("_ap") / F.col("_all_p").cast("double")).alias("average_precision"),
+        F.when(both, F.col("_area") / F.nullif(F.col("_all_p").cast("double") * F.col("_all_n").cast("double"), F.lit(0.0))).alias("auroc"),
+        F.when(both, F.col("_ap") / F.nullif(F.col("_all_p").cast("double"), F.lit(0.0))).alias("average_precision"),
         F.when(both, F.coalesce("_fpr95", F.lit(1.0))).alias("fpr_at_95_tpr"),
     )
 
@@ -89,7 +94,7 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
     ranked = mid_ranks(mid_ranks(known, keys, "_a", "_ra"), keys, "_b", "_rb")
     out = ranked.groupBy(*keys).agg(
-        F.corr("_ra", "_rb").alias("_corr"),
+        correlation("_ra", "_rb").alias("_corr"),
         (F.min("_ra") == F.max("_ra")).alias("_ca"),
         (F.min("_rb") == F.max("_rb")).alias("_cb"),
         F.min((F.col("_ra") == F.col("_rb")).cast("int")).alias("_same"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normspark.operators.metrics import mid_ranks
+from normspark.operators.metrics import correlation, mid_ranks
 
 
 def delta_to_clean(df: DataFrame, keys: list[str], condition: str, metrics: list[str], clean: str = "clean") -> DataFrame:
@@ -58,7 +58,7 @@ def failure_clusters(df: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(failed.cast("double")).alias("failure_rate"),
         F.avg(F.when(F.col("target") == 0, delta)).alias("normal_score_delta"),
         F.avg(F.when(F.col("target") == 1, delta)).alias("anomaly_score_delta"),
-        F.corr("_r", "_rc").alias("score_spearman"),
+        correlation("_r", "_rc").alias("score_spearman"),
     )
 
 
