@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normspark.functions.ordered import running
+from normspark.session import cut
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -57,8 +58,8 @@ def ranking_metrics(df: DataFrame, keys: list[str], target: str = "target", scor
     two levels, so a large group stays parallel. Groups of one class have nulls. Null and NaN scores don't count.
     """
     usable = df.where(F.col(target).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
-    per_score = usable.groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.sum(F.col(target).cast("long")).alias("_p"), F.sum((1 - F.col(target)).cast("long")).alias("_n")
+    per_score = cut(
+        usable.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(target).cast("long")).alias("_p"), F.sum((1 - F.col(target)).cast("long")).alias("_n"))
     )
     totals = per_score.groupBy(*keys).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
     curve = running(per_score, keys, "_s", {"_tp": "_p", "_fp": "_n"}, descending=True)
@@ -84,7 +85,7 @@ def ranking_metrics(df: DataFrame, keys: list[str], target: str = "target", scor
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the value's rank within its group, equal values at the mean of their places."""
-    per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    per_value = cut(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running(per_value, keys, value, {"_upto": "_c"}).select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).cast("double").alias(name))
     return df.join(ranked, [*keys, value])
 

@@ -43,6 +43,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if small(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are task slots; a table that has them already isn't moved.
+
+    For work in Python over tables of few files, which would else run in few tasks.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> None:
     """Raise if one of ``columns`` is missing; further columns are allowed everywhere."""
     missing = [c for c in columns if c not in df.columns]
