@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normspark.session import require
+from normspark.session import require, spread
 
 #: Words of a passage, characters of a gram, and edits that a passage may differ by.
 WORDS, Q, EDITS = 12, 8, 1
@@ -255,7 +255,7 @@ def leaks(documents: DataFrame, items: DataFrame, exact: bool = False) -> DataFr
     require(documents, ["doc_id", "text"])
     require(items, ["item_id", "text"])
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     held = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = held.count() // BLOCK_ITEMS + 1
     found = None
