@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normspark.functions.hashing import digest
+from normspark.session import broadcast_if_small
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -78,8 +79,9 @@ def standardized_score(queries: DataFrame, train: DataFrame, bank: DataFrame, ca
         .agg(F.sort_array(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("_m"))
     )
     scale = "transform(zip_with({v}, _m, (x, p) -> (CAST(x AS DOUBLE) - p.m) / p.s), z -> z)"
-    q = queries.join(F.broadcast(moments), category).withColumn("_z", F.expr(scale.format(v=vec))).select(key, category, "_z")
-    b = bank.join(F.broadcast(moments), category).withColumn("vec", F.expr(scale.format(v="vec"))).select(category, "vec")
+    moments = broadcast_if_small(moments, 10_000)
+    q = queries.join(moments, category).withColumn("_z", F.expr(scale.format(v=vec))).select(key, category, "_z")
+    b = bank.join(moments, category).withColumn("vec", F.expr(scale.format(v="vec"))).select(category, "vec")
     return nearest_score(q, b, category, key, "_z")
 
 
