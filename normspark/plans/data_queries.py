@@ -237,14 +237,15 @@ pairs AS (SELECT DISTINCT x.rep AS key_a, y.rep AS key_b, CAST(bit_count(xor(x.b
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
-    names = ["category", "split", "perceptual_hash"]
+    names = ["dataset_version", "category", "split", "image_path", "perceptual_hash"]
     first = table(s, d, "manifest").where("perceptual_hash IS NOT NULL").groupBy("sample_id").agg(*(F.min_by(c, "ingested_at").alias(c) for c in names))
     bits = F.conv(F.regexp_replace(F.lower("perceptual_hash"), "^0x", ""), 16, -10).cast("long")
-    return first.select("sample_id", "category", F.lower(F.trim("split")).alias("split"), bits.alias("bits"))
+    return first.select("sample_id", "dataset_version", "category", F.lower(F.trim("split")).alias("split"), "image_path", bits.alias("bits"))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return duplicates.banded_pairs(_hashes(s, d), "sample_id", "bits", ["category"], 1)
+    """Pairs that look the same under the limits of their dataset_version; the SQL stops at hashes 1 bit apart and has no thumbnails."""
+    return duplicates.near_duplicates(_hashes(s, d), table(s, d, "grouping_records"), table(s, d, "visa_config"))
 
 
 @query(_HASHES + "SELECT * FROM pairs")
