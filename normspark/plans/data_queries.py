@@ -323,7 +323,8 @@ WITH pix AS (SELECT l_orderkey % 200 AS image, (l_partkey % 16)::INTEGER AS y, (
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "lineitem").groupBy((F.col("l_orderkey") % 200).alias("image"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x")).agg(
+    """Pixels of one frame per order; the SQL folds the orders into 200."""
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x")).agg(
         F.max("l_extendedprice").alias("score"), (F.max("l_quantity") > 40).alias("mask"), (F.max("l_discount") > 0.05).alias("support"), F.min("l_tax").alias("other")
     )
 
@@ -391,7 +392,8 @@ def tile_layout(s, d):
 
 @query(_GRID + ", w AS (SELECT image % 20 AS frame, (image // 20 % 3) * 8 AS top, 0 AS \"left\", y, x, score, greatest((0.5 - 0.5 * cos(2 * pi() * (y + 0.5) / 16)) * (0.5 - 0.5 * cos(2 * pi() * (x + 0.5) / 16)), 1e-6) AS w FROM pix) SELECT frame, (top + y)::INTEGER AS frame_y, (\"left\" + x)::INTEGER AS frame_x, round(sum(w * score) / sum(w), 5) AS score FROM w GROUP BY 1, 2, 3")
 def tile_blend(s, d):
-    tiles = _grid(s, d).select((F.col("image") % 20).alias("frame"), (F.floor(F.col("image") / 20) % 3 * 8).cast("int").alias("top"), F.lit(0).alias("left"), "y", "x", "score")
+    """Three orders with keys in a row are the overlapping tiles of one frame."""
+    tiles = _grid(s, d).select(F.expr("image DIV 3").alias("frame"), (F.col("image") % 3 * 8).cast("int").alias("top"), F.lit(0).alias("left"), "y", "x", "score")
     return rounded(grids.tile_blend(tiles, ["frame"], 16), ["score"], 5)
 
 

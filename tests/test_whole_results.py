@@ -29,3 +29,13 @@ def test_near_duplicates_take_their_versions_limits_and_compare_thumbnails(spark
     crossing = {(r.key_a, r.key_b) for r in data_queries.cross_split_duplicates(spark, str(tmp_path)).collect()}
     assert crossing == {("a", "b"), ("a", "j"), ("b", "c"), ("f", "g")}
     assert {r.node: r.component for r in data_queries.components(spark, str(tmp_path)).collect()} == {"a": "a", "b": "a", "c": "a", "j": "a", "f": "f", "g": "f"}
+
+
+def test_each_order_is_a_frame_of_its_own(spark, tmp_path):
+    rows = [(1, 0, 0, 10.0, 50.0, 0.1, 0.0), (201, 0, 0, 30.0, 1.0, 0.0, 0.0), (201, 1, 0, 20.0, 50.0, 0.1, 0.0), (2, 8, 0, 40.0, 1.0, 0.0, 0.0)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in data_queries.top_fraction_mean(spark, str(tmp_path)).collect()} == {(1, 10.0, 1), (201, 30.0, 1), (2, 40.0, 1)}
+    assert {(r.image, r.mask_pixels, r.n_pixels) for r in data_queries.mask_measurements(spark, str(tmp_path)).collect()} == {(1, 1, 1), (201, 1, 2), (2, 0, 1)}
+    blended = {(r.frame, r.frame_y, r.frame_x): r.score for r in data_queries.tile_blend(spark, str(tmp_path)).collect()}
+    assert blended == {(0, 8, 0): 10.0, (0, 24, 0): 40.0, (67, 0, 0): 30.0, (67, 1, 0): 20.0}
