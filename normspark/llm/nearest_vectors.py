@@ -153,11 +153,14 @@ class _Best:
     def add(self, q: int, ids: np.ndarray, cosines: np.ndarray) -> None:
         other = ids != self.queries[q]
         ids, cosines = np.concatenate([self.ids[q], ids[other]]), np.concatenate([self.cosines[q], cosines[other]])
-        if len(ids) > 4 * self.k:
-            # ties with the last place stay until ids decide
-            last = np.partition(cosines, -2 * self.k)[-2 * self.k]
-            if (cosines >= last).sum() <= 8 * self.k:
-                ids, cosines = ids[cosines >= last], cosines[cosines >= last]
+        near = 4 * self.k
+        while len(ids) > near:
+            # ties with the last place stay until ids decide; an id delivered often must not take the places of others
+            kept = cosines >= np.partition(cosines, -near)[-near]
+            if len(np.unique(ids[kept])) >= self.k:
+                ids, cosines = ids[kept], cosines[kept]
+                break
+            near *= 4
         order = np.lexsort((ids, -cosines))
         ids, cosines = ids[order], cosines[order]
         _, first = np.unique(ids, return_index=True)
