@@ -12,7 +12,7 @@ from normspark.functions import predicates
 from normspark.operators import duplicates, images, metrics, neighbours, resampling, robustness, splits
 from normspark.plans import study
 from normspark.plans.data_queries import _GRID, _HASHES, _RECORDS, _grid, _pairs, records
-from normspark.plans.study_queries import _operating
+from normspark.plans.study_queries import _operating, _paired
 from normspark.sources import tables
 from normspark.session import table
 
@@ -149,8 +149,10 @@ def capture_aggregate(s, d):
 
 @query("WITH f AS (SELECT user_id % 12 AS category, event_type AS family, event_id AS sample_id, value AS stability FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND event_id % 5 = 0) SELECT category, family, arg_min(sample_id, struct_pack(v := stability, i := sample_id)) AS sample_id, min(stability) AS stability FROM f GROUP BY ALL")
 def argmin_failure(s, d):
-    rows = table(s, d, "events").where("value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND event_id % 5 = 0")
-    return rows.groupBy((F.col("user_id") % 12).alias("category"), F.col("event_type").alias("family")).agg(F.min_by("event_id", F.struct("value", "event_id")).alias("sample_id"), F.min("value").alias("stability"))
+    """The sample of least stability among each kind of new failure at severity 2; the SQL takes every fifth event instead."""
+    failed = _paired(s, d).where("severity = 2 AND transition IN ('new_false_positive', 'new_false_negative')")
+    rows = failed.select("model", "category", "condition", "family", "transition", "sample_id").join(study.scored(s, d).select("sample_id", F.col("score").alias("stability")), "sample_id")
+    return rows.groupBy("model", "category", "condition", "family", "transition").agg(F.min_by("sample_id", F.struct("stability", "sample_id")).alias("sample_id"), F.min("stability").alias("stability"))
 
 
 @query("SELECT family, CASE WHEN family = 'blur' THEN 2.0::DOUBLE * 336 / 224 END AS sigma, CASE WHEN family = 'noise' THEN 0.05::DOUBLE END AS standard_deviation FROM (VALUES ('blur'), ('noise')) t(family)")

@@ -5,7 +5,7 @@ from datetime import datetime
 import numpy as np
 
 from normspark.llm import nearest_vectors
-from normspark.plans import data_queries
+from normspark.plans import data_queries, more_queries, study
 
 
 def test_near_duplicates_take_their_versions_limits_and_compare_thumbnails(spark, tmp_path):
@@ -63,3 +63,21 @@ def test_best_of_a_batch_counts_an_id_once():
         ids = np.repeat(np.arange(60), times)
         best.add(0, ids, (1 - ids / 100).astype(np.float32))
         assert best.ids[0].tolist() == list(range(10))
+
+
+def test_argmin_failure_takes_the_new_failures_at_severity_2(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    kinds = ["error", "view", "click"]
+    rows = [(i, i % 3, kinds[int(rng.integers(3))], float(rng.exponential(12))) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    value = {r[0]: r[3] for r in rows}
+    seen = [r.asDict() for r in study.predictions(spark, str(tmp_path)).collect()]
+    clean = {(r["model"], r["sample_id"]): r["predicted"] for r in seen if r["condition"] == "clean"}
+    want = {}
+    for r in seen:
+        before = clean[r["model"], r["sample_id"]]
+        if r["severity"] == 2 and before == r["target"] != r["predicted"]:
+            key = r["model"], r["category"], r["condition"], "new_false_negative" if r["target"] else "new_false_positive"
+            want[key] = min(want.get(key, (float("inf"), 0)), (value[r["sample_id"]], r["sample_id"]))
+    got = {(r.model, r.category, r.condition, r.transition): (r.stability, r.sample_id) for r in more_queries.argmin_failure(spark, str(tmp_path)).collect()}
+    assert got == want and any(i % 5 for _, i in got.values())
