@@ -39,3 +39,22 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column |
     out = ranged.join(broadcast_if_small(totals), [*keys, "_range"])
     out = out.withColumns({n: F.sum(f"_x_{n}").over(inside) + F.col(f"_o_{n}") for n in sums})
     return out.drop("_range", *(f"_x_{n}" for n in sums), *(f"_o_{n}" for n in sums))
+
+
+def places(df: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with each row's place within ``keys`` by ``order``, from 1; ``order`` should tell rows apart.
+
+    The rows are cut into ranges over all keys, so a large group is many ranges; a place is the row's number in its
+    range and the group's rows in the ranges before it. Null keys are a group.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    totals = cut(totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), "_o"))
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = ranged.withColumn("_i", inside).join(broadcast_if_small(totals), on)
+    return out.withColumn(name, F.col("_i") + F.col("_o")).select(*df.columns, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normspark.functions import predicates
+from normspark.functions import ordered, predicates
 from normspark.functions.hashing import sample_id as make_sample_id
 from normspark.functions.hashing import stable_bucket as bucket_of
 from normspark.operators import duplicates, gates, grids, neighbours, relations, splits
@@ -94,10 +94,10 @@ def nested_counts(s, d):
 
 @query(_RECORDS + " SELECT category, split, image_path, row_number() OVER (PARTITION BY category ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 END, image_path) AS place FROM records WHERE split IN ('train', 'validation', 'test') QUALIFY place <= 5")
 def canonical_order(s, d):
+    """Every record's place in its category; the SQL stops at the fifth."""
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).when(F.col("split") == "test", 2)
-    rows = records(s, d).where(rank.isNotNull()).select("category", "split", "image_path", rank.alias("_rank"))
-    w = F.row_number().over(splits.Window.partitionBy("category").orderBy("_rank", "image_path"))
-    return rows.withColumn("place", w).where("place <= 5").drop("_rank")
+    rows = records(s, d).where(rank.isNotNull()).select("sample_id", "category", "split", "image_path", rank.alias("_rank"))
+    return ordered.places(rows, ["category"], ["_rank", "image_path", "sample_id"]).select("category", "split", "image_path", "place")
 
 
 @query(_RECORDS + " SELECT category, split, label, image_path FROM records WHERE split IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category, split, label ORDER BY image_path) <= 3")

@@ -81,3 +81,17 @@ def test_argmin_failure_takes_the_new_failures_at_severity_2(spark, tmp_path):
             want[key] = min(want.get(key, (float("inf"), 0)), (value[r["sample_id"]], r["sample_id"]))
     got = {(r.model, r.category, r.condition, r.transition): (r.stability, r.sample_id) for r in more_queries.argmin_failure(spark, str(tmp_path)).collect()}
     assert got == want and any(i % 5 for _, i in got.values())
+
+
+def test_every_record_has_its_place(spark, tmp_path):
+    names = ["train", " Validation", "test"]
+    rows = [(f"s{i}", "v", None if i % 7 == 0 else f"c{i % 7 // 4}", names[i * 5 % 3], "train", "normal", f"p{i * 37 % 90:02}.png", "00", "0", datetime(2025, 1, 1)) for i in range(90)]
+    schema = "sample_id string, dataset_version string, category string, split string, source_split string, label string, image_path string, image_sha256 string, perceptual_hash string, ingested_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/manifest.parquet")
+    ordered = sorted((str(r[2]), names.index(r[3]), r[6], r[2]) for r in rows)
+    want, count = set(), {}
+    for _, rank, path, category in ordered:
+        count[category] = count.get(category, 0) + 1
+        want.add((category, names[rank].strip().lower(), path, count[category]))
+    got = [tuple(r) for r in data_queries.canonical_order(spark, str(tmp_path)).collect()]
+    assert len(got) == 90 and set(got) == want
