@@ -7,25 +7,30 @@ query does). Within such a cell, a second set of ``COUNTED`` projections is kept
 For each query, a window centred on the query's own value is cut from every array, and the vectors
 are counted by how many windows they fall in; those with at least ``THRESHOLD`` collisions are
 verified by their cosine. While fewer than ``k`` verified vectors lie within the radius that the
-windows stand for, the windows are widened (virtual rehashing: the same arrays, a larger radius) up
-to ``RADII[-1]``; then the cell's best ``k`` go to the merge. The merge keeps the best ``k`` of all
-cells of a query. A query whose ``k``-th neighbour lies beyond the last radius (it has no ``k`` near
-vectors, or they were missed) isn't settled by the windows and is compared exactly with all vectors, in
-blocks of ``EXACT_BLOCK`` queries.
+windows stand for, the windows are widened (virtual rehashing: the same arrays, a larger radius).
+
+A query with ``k`` verified vectors within ``RADII[-1]`` is settled. The others go into the last
+rehashing: the radius is unbounded there, so the windows are whole arrays, every vector of a cell
+collides, and all are verified, as one matrix product for all queries of the cell; each vector
+is stored under its most extreme line only, and the query looks under the share ``WIDE`` of the lines on which it lies
+farthest out. Its work is that share of the vectors, not a constant: neighbours hardly nearer than chance can't be
+found by much less at the recall that is asked for (README has the measurement). Only improvements on what the first
+windows found leave a cell. With ``share=1`` the result is exact, at the price of a comparison with every vector.
 
 Partitions: the number of lines grows with the number of vectors, so that a cell holds about
-``CELL_ROWS``; the vectors per line are counted first, and a line with more is split by a hash of the
-vector's id into cells of about that size, to each of which its queries are copied. Hence a line
-that holds a third of all vectors is many cells, and a task never holds more than ``BLOCK`` rows of a
-cell at once. Shuffled are ``STORE`` copies of each vector and ``PROBE`` of each query.
+``CELL_ROWS``. Beyond ``FIRST_LINES`` a cell is a line of a first set and one of a second set: a
+vector is stored under its most extreme line of the second set, a query looks under
+``SECOND_PROBE`` of them. The vectors per line are counted first, and a line with more than four times
+``CELL_ROWS`` is split by a hash of the vector's id into parts, to each of which its queries are copied. Hence a line
+that holds a third of all vectors is many cells, a task never holds more than ``BLOCK`` rows of a
+cell as one block, and the shuffle has a partition for each ``TASK_ROWS`` rows. Shuffled are ``STORE`` copies of each vector and ``PROBE`` of each query.
 
-Measured against brute force on the test tables the recall is reported by
-``tests/llm/test_nearest_vectors.py`` and in the README.
+Recall against brute force is measured by ``tests/llm/test_neighbours_recall.py`` and given in the README.
 
 Defined results: a vector is usable if it is not null, has the asked length, no null or non-finite
 value and not only zeros. An id counts once: of several usable deliveries of one id, the most similar
 one. Equal similarity is ordered by id. Null ids are left out. Fewer than ``k`` other usable vectors give all
-of them. Further columns are ignored; empty tables give no pairs.
+that are found. Further columns are ignored; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -43,17 +48,18 @@ from normspark.session import broadcast_if_small, cut, require
 SEED = 20250117
 #: Signed lines under which a vector is stored and a query looks.
 STORE, PROBE = 2, 10
-#: Vectors per cell aimed at, and the most that are held as one block of sorted arrays.
-CELL_ROWS, BLOCK = 2_000, 16_384
-#: Signed lines at least and at most.
-LEAST_LINES, MOST_LINES = 64, 4_096
+#: Vectors per cell aimed at, the most that are held as one block of sorted arrays, and rows of a task of the shuffle.
+CELL_ROWS, BLOCK, TASK_ROWS = 2_000, 16_384, 40_000
+#: Signed lines at least, signed lines of the first set at most, and lines of the second set that a query looks under.
+LEAST_LINES, FIRST_LINES, SECOND_PROBE = 256, 4_096, 4
 #: Counted projections, the collisions a candidate needs, and the radii of the windows.
 COUNTED, THRESHOLD = 16, 8
 RADII = (0.30, 0.45, 0.70)
+#: Share of the lines that a query looks under once the radius is unbounded.
+WIDE = 0.5
 #: Window half width for a radius: near vectors fall into it with a chance of about 0.77 per projection.
 WIDTH_FACTOR = 1.2
-#: Queries compared exactly in one block, and the most query ids that are broadcast (16 MB).
-EXACT_BLOCK = 2_048
+#: Query ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -105,39 +111,69 @@ def _count_lines(dimension: int, lines: int):
     return run
 
 
-def _spread(dimension: int, lines: int, cells: dict[int, int]):
-    """Rows of the cells: each vector under its extreme lines, each query under more of its own."""
+class _Layout:
+    """The lines, and into how many parts each line of the first set is split."""
+
+    def __init__(self, dimension: int, total: int) -> None:
+        self.dimension, self.first, self.second = dimension, LEAST_LINES, 1
+        while self.first < FIRST_LINES and total * STORE > self.first * CELL_ROWS:
+            self.first *= 2
+        while total * STORE > self.first * self.second * CELL_ROWS:
+            self.second *= 2
+        self.parts = np.ones(self.first, np.int64)
+
+    def split(self, counts: dict[int, int]) -> None:
+        for line, n in counts.items():
+            self.parts[line] = max(1, round(n / (4 * CELL_ROWS * self.second)))
+
+    def second_lines(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The most extreme lines of the second set (one column of zeros where there is none)."""
+        return extreme_lines(x, _lines(self.dimension, max(1, self.second // 2), 3), count) if self.second > 1 else np.zeros((len(x), 1), np.int64)
+
+    def keys(self, line: np.ndarray, second: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (line.astype(np.int64) * self.second + second) << 24 | part
+
+
+def _spread(layout: _Layout, share: float | None):
+    """Rows of the cells: each vector under its ``STORE`` extreme lines, each query under ``PROBE`` of its own.
+
+    With a ``share`` each vector is stored once, and a query looks under that share of the lines.
+    """
+    wide = share is not None
+    dimension, store, probe = layout.dimension, 1 if wide else STORE, max(PROBE, round(share * layout.first)) if wide else PROBE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _lines(dimension, lines // 2, 1)
-        parts = np.array([cells.get(i, 1) for i in range(lines)], np.int64)
+        a = _lines(dimension, layout.first // 2, 1)
         for batch in batches:
             ids = np.asarray(batch.column("id"))
             places, x = unit_vectors(batch.column("vec"), dimension)
             if not len(x):
                 continue
-            ids, asked = ids[places], np.asarray(batch.column("is_query").take(pa.array(places)), dtype=bool)
-            line = extreme_lines(x, a, max(STORE, PROBE))
-            stored = line[:, :STORE]
+            ids, kept = ids[places], pa.array(places)
+            asked = np.asarray(batch.column("is_query").take(kept), dtype=bool)
+            floors = np.asarray(batch.column("floor").take(kept))
+            line = extreme_lines(x, a, store)
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            row = np.repeat(np.arange(len(x)), stored.shape[1])
-            key_line, key_part = stored.ravel(), (mixed[row] % parts[stored.ravel()].astype(np.uint64)).astype(np.int64)
-            query = np.zeros(len(row), bool)
+            row = np.repeat(np.arange(len(x)), store)
+            key_line = line.ravel()
+            key_second = np.repeat(layout.second_lines(x, 1)[:, 0], store)
+            key_part = (mixed[row] % layout.parts[key_line].astype(np.uint64)).astype(np.int64)
+            groups = [(True, row, layout.keys(key_line, key_second, key_part))]
             q = np.flatnonzero(asked)
             if len(q):
-                q_line = line[q].ravel()
-                times = parts[q_line]
-                q_row = np.repeat(np.repeat(q, line.shape[1]), times)
+                q_first = extreme_lines(x[q], a, probe)
+                q_second = layout.second_lines(x[q], layout.second if wide else SECOND_PROBE)
+                n1, n2 = q_first.shape[1], q_second.shape[1]
+                q_line, q_second = np.repeat(q_first.ravel(), n2), np.repeat(q_second[:, None, :], n1, 1).ravel()
+                times = layout.parts[q_line]
+                q_row = np.repeat(np.repeat(q, n1 * n2), times)
                 q_part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, query = np.concatenate([row, q_row]), np.concatenate([query, np.ones(len(q_row), bool)])
-                key_line, key_part = np.concatenate([key_line, np.repeat(q_line, times)]), np.concatenate([key_part, q_part])
-            for i in range(0, len(row), 8_192):
-                r = row[i : i + 8_192]
-                vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dimension), len(r), [None, pa.py_buffer(np.ascontiguousarray(x[r]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key_line[i : i + 8_192].astype(np.int64) << 32 | key_part[i : i + 8_192], pa.int64()), pa.array(~query[i : i + 8_192]), pa.array(ids[r], pa.int64()), vec],
-                    ["cell", "stored", "id", "unit"],
-                )
+                groups.append((False, q_row, layout.keys(np.repeat(q_line, times), np.repeat(q_second, times), q_part)))
+            for own, row, key in groups:
+                for i in range(0, len(row), 8_192):
+                    r = row[i : i + 8_192]
+                    vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dimension), len(r), [None, pa.py_buffer(np.ascontiguousarray(x[r]))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 8_192], pa.int64()), pa.array(np.full(len(r), own)), pa.array(ids[r], pa.int64()), pa.array(floors[r], pa.float32()), vec], ["cell", "stored", "id", "floor", "unit"])
 
     return run
 
@@ -206,10 +242,29 @@ class _Block:
                     break
 
 
-def _search(dimension: int, k: int):
+def _verify_all(best: _Best, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, floors: np.ndarray, k: int) -> None:
+    """All vectors of a block collide: its best ``k`` of each query that are better than the query's floor."""
+    for i in range(0, len(asked), 1_024):
+        cosines = asked[i : i + 1_024] @ x.T
+        near = min(k + 1, len(ids))  # the query itself may be one of them
+        least = np.maximum(np.partition(cosines, len(ids) - near, axis=1)[:, len(ids) - near], floors[i : i + 1_024])
+        q, at = np.nonzero(cosines >= least[:, None])
+        for j, s, e in zip(*_runs(q), strict=True):
+            best.add(i + j, ids[at[s:e]], cosines[j, at[s:e]])
+
+
+def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The values of a sorted array, and where the run of each begins and ends."""
+    if not len(values):
+        return [], [], []
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
+    return values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)]
+
+
+def _search(dimension: int, k: int, wide: bool):
     """Over rows sorted by cell, stored vectors before queries: each cell's best ``k`` of each query.
 
-    The cell's vectors are held, in blocks; its queries only pass by.
+    The cell's vectors are held, in blocks; its queries only pass by. ``wide``: with an unbounded radius.
     """
     counted = _lines(dimension, COUNTED, 2)
 
@@ -222,7 +277,8 @@ def _search(dimension: int, k: int):
             """The vectors gathered so far become a block, each id once."""
             if ids:
                 own, first = np.unique(np.concatenate(ids), return_index=True)
-                blocks.append(_Block(own, np.concatenate(vecs)[first], counted))
+                vectors = np.concatenate(vecs)[first]
+                blocks.append((own, vectors) if wide else _Block(own, vectors, counted))
                 ids.clear()
                 vecs.clear()
 
@@ -232,6 +288,7 @@ def _search(dimension: int, k: int):
             cells = np.asarray(batch.column("cell"))
             stored = np.asarray(batch.column("stored"))
             row_ids = np.asarray(batch.column("id"))
+            floors = np.asarray(batch.column("floor"))
             x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float32).reshape(-1, dimension)
             starts = np.concatenate([[0], np.flatnonzero((np.diff(cells) != 0) | (stored[1:] != stored[:-1])) + 1, [len(cells)]])
             for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -251,35 +308,15 @@ def _search(dimension: int, k: int):
                         own, first = np.unique(row_ids[s:e], return_index=True)
                         best = _Best(own, k)
                         for block in blocks:
-                            block.search(best, x[s:e][first], k, counted)
+                            if wide:
+                                _verify_all(best, *block, x[s:e][first], floors[s:e][first], k)
+                            else:
+                                block.search(best, x[s:e][first], k, counted)
                         yield best.table()
 
     return run
 
 
-def _exact(dimension: int, k: int, ids: np.ndarray, asked: np.ndarray):
-    """The best ``k`` of a block of queries in each partition, by full comparison."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(ids, k)
-        last = np.full(len(ids), -2, np.float32)
-        for batch in batches:
-            own = np.asarray(batch.column("id"))
-            places, x = unit_vectors(batch.column("vec"), dimension)
-            if not len(x):
-                continue
-            cosines = asked @ x.T
-            better = cosines >= last[:, None]
-            for q in np.flatnonzero(better.any(1)).tolist():
-                top = np.flatnonzero(better[q])
-                best.add(q, own[places[top]], cosines[q][top])
-                if len(best.cosines[q]) == k:
-                    last[q] = best.cosines[q][-1]
-        yield best.table()
-
-    return run
-
-
 def _best_of(found: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query over all cells, each id once."""
     once = found.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine"))
@@ -287,45 +324,42 @@ def _best_of(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10, share: float = WIDE) -> DataFrame:
     """``query_id, id, cosine, place``: the ``k`` most similar other vectors of each query.
 
     ``vectors``: ``id, vec``, whose usable rows are searched. ``queries``: ``id`` of the vectors to
-    search for; ids without a usable vector have no rows.
+    search for; ids without a usable vector have no rows. ``share``: of the lines that a query looks under which
+    the windows don't settle; 1 is exact.
     """
     require(vectors, ["id", "vec"])
-    asked = queries.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct().withColumn("is_query", F.lit(True))
+    asked = queries.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
-    marked = rows.join(broadcast_if_small(asked, BROADCAST_IDS), "id", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))
     total = rows.count()
-    lines = LEAST_LINES
-    while lines < MOST_LINES and total * STORE > lines * CELL_ROWS:
-        lines *= 2
-    # rows per line: at most MOST_LINES numbers
-    n = rows.select("vec").mapInArrow(_count_lines(dimension, lines), "line int, n long").groupBy("line").agg(F.sum("n").alias("n")).collect()
-    cells = {r.line: max(1, round(r.n / (4 * CELL_ROWS))) for r in n}
-    spread = marked.mapInArrow(_spread(dimension, lines, cells), "cell long, stored boolean, id long, unit binary")
-    found = spread.repartition("cell").sortWithinPartitions("cell", F.desc("stored")).mapInArrow(_search(dimension, k), "query_id long, id long, cosine double")
-    best = cut(_best_of(found, k))
-    # queries that the last radius doesn't settle: exactly, in blocks
+    layout = _Layout(dimension, total)
+    # rows per line: at most FIRST_LINES numbers
+    n = rows.select("vec").mapInArrow(_count_lines(dimension, layout.first), "line int, n long").groupBy("line").agg(F.sum("n").alias("n")).collect()
+    layout.split({r.line: r.n for r in n})
+
+    def search(queries: DataFrame, wide: float | None) -> DataFrame:
+        """``queries``: ``id, floor``; only neighbours at least as near as the floor are of interest."""
+        known = queries.withColumn("is_query", F.lit(True))
+        marked = rows.join(broadcast_if_small(known, BROADCAST_IDS), "id", "left").select("id", "vec", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+        spread = marked.mapInArrow(_spread(layout, wide), "cell long, stored boolean, id long, floor float, unit binary")
+        return (
+            spread.repartition(max(1, round(total * STORE / TASK_ROWS)), "cell")
+            .sortWithinPartitions("cell", F.desc("stored"))
+            .mapInArrow(_search(dimension, k, wide is not None), "query_id long, id long, cosine double")
+        )
+
+    nothing = F.lit(-2.0).cast("float")
+    best = cut(_best_of(search(asked.withColumn("floor", nothing), None), k))
+    # the last rehashing, for the queries that the last radius doesn't settle
     settled = best.where((F.col("place") == k) & (F.col("cosine") >= 1 - RADII[-1] ** 2 / 2)).select(F.col("query_id").alias("id"))
-    few = cut(asked.select("id").join(settled, "id", "left_anti"))
-    if few.isEmpty():
+    floors = best.where(F.col("place") == k).select(F.col("query_id").alias("id"), F.col("cosine").cast("float").alias("floor"))
+    left = cut(asked.join(settled, "id", "left_anti").join(floors, "id", "left").select("id", F.coalesce("floor", nothing).alias("floor")))
+    if left.isEmpty():
         return best
-    short = cut(rows.join(broadcast_if_small(few, BROADCAST_IDS), "id").groupBy("id").agg(F.first("vec").alias("vec")))
-    left = short.count()
-    if left:
-        blocks = 1 if left <= EXACT_BLOCK else 2 * (left // EXACT_BLOCK + 1)
-        number = short.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        parts = []
-        for block in range(blocks):
-            own = number.where(F.col("_block") == block).select("id", "vec").toArrow()
-            places, x = unit_vectors(own.column("vec"), dimension)
-            if len(x):
-                parts.append(cut(_best_of(rows.mapInArrow(_exact(dimension, k, np.asarray(own.column("id").combine_chunks())[places], x), "query_id long, id long, cosine double"), k)))
-        for part in parts:
-            best = best.join(part.select("query_id").distinct(), "query_id", "left_anti").unionByName(part)
-    return best
+    return _best_of(best.select("query_id", "id", "cosine").unionByName(search(left, share)), k)
 
 
 def usable_dimension(stats: DataFrame) -> list[int]:
@@ -333,14 +367,14 @@ def usable_dimension(stats: DataFrame) -> list[int]:
     return sorted(r[0] for r in stats.where("projected_dimension > 0").select("projected_dimension").distinct().collect())
 
 
-def patch_neighbours(patches: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def patch_neighbours(patches: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10, share: float = WIDE) -> DataFrame:
     """``query_id, id, cosine, place`` over all patches whose length is their category's dimension."""
     require(patches, ["patch_id", "category", "vec"])
     dims = stats.where("category IS NOT NULL AND projected_dimension > 0").groupBy("category").agg(F.max("projected_dimension").alias("dimension"))
     fit = patches.select(F.col("patch_id").alias("id"), "category", "vec").join(broadcast_if_small(dims), "category").where(F.size("vec") == F.col("dimension"))
     out = None
     for dimension in usable_dimension(stats):
-        part = neighbours(fit.where(F.col("dimension") == dimension).select("id", "vec"), queries, dimension, k)
+        part = neighbours(fit.where(F.col("dimension") == dimension).select("id", "vec"), queries, dimension, k, share)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = neighbours(fit.select("id", "vec"), queries.limit(0), 1, k)

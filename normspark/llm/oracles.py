@@ -30,7 +30,6 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC,
 """
 
 P3_FOUND = _NEAR.format(asked="q.patch_id IN (SELECT patch_id FROM probe_patches)") + "SELECT DISTINCT least(query_id, id) AS patch_a, greatest(query_id, id) AS patch_b FROM top"
-P3_NEIGHBOURS = _NEAR.format(asked="q.patch_id % 100 = 0") + "SELECT query_id, id FROM top"
 
 _SOURCES = """
 WITH s AS (SELECT experiment, model, category, sample_id, min(score) AS score FROM calibration_scores WHERE lower(trim(split)) = 'validation' AND lower(trim(label)) = 'normal' AND score IS NOT NULL AND isfinite(score) GROUP BY ALL),
@@ -57,7 +56,6 @@ ORACLES = {
     "p1_sample": P1_SAMPLE,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
-    "p3_neighbours": P3_NEIGHBOURS,
     "p5_found": P5_FOUND,
     "p5_cutoffs": P5_CUTOFFS,
     "p7_found": P7_FOUND,

@@ -132,12 +132,12 @@ def test_neighbours_against_brute_force(spark):
     assert nearest_vectors.neighbours(df.select("id", "vec").limit(0), spark.createDataFrame([(0,)], "id long"), 16).count() == 0
 
 
-def test_neighbours_without_near_ones_are_exact(spark):
+def test_neighbours_under_all_lines_are_exact(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 24))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<float>")
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    got = found(nearest_vectors.neighbours(df, df.where("id < 20").select("id"), 24, 5).select("query_id", "id"))
+    got = found(nearest_vectors.neighbours(df, df.where("id < 20").select("id"), 24, 5, share=1.0).select("query_id", "id"))
     assert got == {(q, int(i)) for q in range(20) for i in np.argsort(-(u @ u[q]))[1:6]}
 
 
