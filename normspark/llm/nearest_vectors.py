@@ -87,14 +87,20 @@ def extreme_lines(x: np.ndarray, lines: np.ndarray, count: int) -> np.ndarray:
     Signed lines are numbered from 0: the lines, then their opposites.
     """
     n = lines.shape[1]
-    count = min(count, n)
+    count = min(count, 2 * n)
     out = np.empty((len(x), count), np.int32)
     for i in range(0, len(x), 2_048):
         p = x[i : i + 2_048] @ lines
         size = np.abs(p)
-        far = np.argpartition(size, n - count, axis=1)[:, n - count :]
-        far = np.take_along_axis(far, np.argsort(-np.take_along_axis(size, far, 1), axis=1, kind="stable"), 1)
-        out[i : i + 2_048] = np.where(np.take_along_axis(p, far, 1) < 0, far + n, far)
+        if count < n:
+            far = np.argpartition(size, n - count, axis=1)[:, n - count :]
+            far = np.take_along_axis(far, np.argsort(-np.take_along_axis(size, far, 1), axis=1, kind="stable"), 1)
+        else:
+            far = np.argsort(-size, axis=1, kind="stable")
+        signed = np.where(np.take_along_axis(p, far, 1) < 0, far + n, far)
+        if count > n:  # beyond its own sides of all lines come the other sides, the nearest first
+            signed = np.concatenate([signed, (signed[:, ::-1] + n) % (2 * n)], 1)[:, :count]
+        out[i : i + 2_048] = signed
     return out
 
 
