@@ -52,7 +52,20 @@ found AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (size, g))
 P7_FOUND = _PASSAGES + "SELECT doc_id, item_id FROM found"
 P7_ITEMS = _PASSAGES + "SELECT suite, e.item_id, count(f.doc_id) AS n_documents FROM (SELECT item_id, min(suite) AS suite FROM eval_items GROUP BY item_id) e LEFT JOIN found f USING (item_id) GROUP BY ALL"
 
+P8_STATISTICS = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '</?[A-Za-z][^<>]{0,500}>', ' ', 'g'), '\*\*|__|``?|~~', '', 'g') AS x FROM documents),
+s AS (SELECT k, doc_id, x, regexp_replace(x, '[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]', '', 'g') AS solid, regexp_extract_all(regexp_replace(lower(x), '([\x{3040}-\x{30FF}\x{3400}-\x{9FFF}])', ' \1 ', 'g'), '\p{L}+') AS w,
+  list_filter(regexp_split_to_array(x, '[\n\r\x{85}\x{2028}\x{2029}]'), lambda l: regexp_matches(l, '[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]')) AS lines FROM t),
+c AS (SELECT list(DISTINCT lower(word)) AS common FROM common_words)
+SELECT doc_id, len(w) AS n_words, round(list_sum(list_transform(w, lambda a: length(a)))::DOUBLE / nullif(len(w), 0), 6) AS mean_word_length,
+  round(length(regexp_replace(solid, '[\p{L}\p{Nd}²³¹]', '', 'g'))::DOUBLE / nullif(length(solid), 0), 6) AS symbol_ratio, round(length(regexp_replace(solid, '[^\p{Nd}²³¹]', '', 'g'))::DOUBLE / nullif(length(solid), 0), 6) AS digit_ratio,
+  round(len(list_filter(lines, lambda l: regexp_matches(l, '[.!?…。！？:;]["''”’»)\]*」]*[\s\p{Z}]*$')))::DOUBLE / nullif(len(lines), 0), 6) AS punctuated_lines,
+  round(len(list_filter(w, lambda a: list_contains(common, a)))::DOUBLE / nullif(len(w), 0), 6) AS common_share, round(len(w)::DOUBLE / nullif(len(lines), 0), 6) AS words_per_line
+FROM s CROSS JOIN c
+"""
+
 ORACLES = {
+    "p8_statistics": P8_STATISTICS,
     "p1_sample": P1_SAMPLE,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,

@@ -89,13 +89,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")).where("not_prose").select("doc_id")
 
 
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain statistics of every document."""
+    measured = text_quality.document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    plain = ["mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "words_per_line"]
+    return measured.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in plain))
+
+
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics of every document with percentiles, robust z-scores and tails."""
     return text_quality.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items, p8_found, p8_profile)
+    f.__name__: f for f in (p1_sample, p1_ledger_growth, p2_found, p2_report, p3_found, p3_neighbours, p5_found, p5_cutoffs, p6_ids, p7_found, p7_near, p7_items, p8_found, p8_statistics, p8_profile)
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

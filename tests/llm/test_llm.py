@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from normspark.session import cut, table
 from normspark.llm import corpus_tokens, fraction_cutoff, leaked_passages, nearest_vectors, split_overlap, stable_sample, text_quality
 
 RANKS = corpus_tokens.RANKS
@@ -228,23 +229,45 @@ PROSE = "The threshold was kept at noon because the lamp had been changed. Nothi
 
 
 def test_quality_flags_lists_tables_and_scrambles_but_not_prose(spark):
+    """Known documents among those of a corpus, whose sketches say what is usual."""
     scrambled = "of was the in and on had the is at of because on with it is the was in of and the at had lamp on seal of the in"
     texts = {
-        1: PROSE, 2: "- hex nut\n- heat sink\n- end cap", 3: "| a | b |\n| --- | --- |\n| 1 | 2 |", 4: "Left camera needs service. Gasket passed.", 5: None, 6: "   \n", 7: "a8f3 99c1 00de 12ab", 8: scrambled,
-        9: "PLEASE CHECK THE LENS BEFORE THE NEXT PART IS PLACED ON IT.", 10: "Das Relais aus Los 7 ist in Ordnung, aber der Wert bleibt unter 3.", 11: "フィルターを交換した後、傷は見えなくなりました。", 12: PROSE + "\n" + "7;x;y;ok\n" * 60,
-    }
-    docs = spark.createDataFrame([(k, v, "EN-en", "x") for k, v in texts.items()] + [(100 + k, PROSE, None, "x") for k in range(60)], "doc_id long, text string, lang string, n_words string")
-    words = spark.createDataFrame([("en", w) for w in "the was at because had and it is in on of with".split()] + [("de", w) for w in "das aus ist in aber der unter".split()] + [(None, None)], "lang string, word string")
-    out = text_quality.profile(docs, words)
-    assert {r.doc_id for r in out.where("not_prose").collect()} == {2, 3, 7, 8, 12}
-    assert out.count() == len(texts) + 60 and out.where("doc_id = 5").first().n_words == 0
-    assert {r.language for r in out.select("language").distinct().collect()} == {"en", "und"}
+        1: PROSE, 2: "- hex nut\n- heat sink\n- end cap", 3: "| a | b |\n| --- | --- |\n| 1 | 2 |", 4: "Left camera needs service. Gasket passed. Night inspector stopped line 6. Day crew counted 615, found 2 defects.", 5: None, 6: "   \n", 7: "a8f3 99c1 00de 12ab", 8: scrambled,
+        9: "PLEASE CHECK THE LENS BEFORE THE NEXT PART IS PLACED ON IT.", 10: "Das Relais aus Los 7 ist in Ordnung, aber der Wert bleibt unter 3.", 11: "フィルターを交換した後、傷は見えなくなりました。", 12: PROSE + "\n" + "7;x;y;ok\n" * 60, 13: "",
+    }
+    corpus = table(spark, "/root/testdata/sf0.1", "documents").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", "lang", F.lit("x").alias("n_words"))
+    docs = spark.createDataFrame([(k, v, {10: "de", 11: "JA "}.get(k, "EN-en"), "x") for k, v in texts.items()], "doc_id long, text string, lang string, n_words string").unionByName(corpus)
+    words = table(spark, "/root/testdata/sf0.01", "common_words").unionByName(spark.createDataFrame([(None, None)], "lang string, word string"))
+    out = cut(text_quality.profile(docs, words))
+    assert {r.doc_id for r in out.where("not_prose AND doc_id < 1000000").collect()} == {2, 3, 7, 8, 12}
+    assert out.count() == docs.count()
+    for r in out.where("doc_id IN (5, 6, 13)").collect():
+        assert (r.n_words, r.common_share, r.sentence_share, r.not_prose, r.language) == (0, None, None, False, "en")
+
+
+def test_quality_of_an_empty_and_of_a_tiny_corpus(spark):
+    words = spark.createDataFrame([("en", "the")], "lang string, word string")
+    docs = spark.createDataFrame([(1, None, None), (1, PROSE, None), (None, PROSE, "de_AT")], "doc_id long, text string, lang string")
     assert text_quality.profile(docs.limit(0), words).count() == 0
+    got = text_quality.profile(docs, words).collect()
+    assert sorted((str(r.doc_id), r.language, r.n_words) for r in got) == [("1", "und", 0), ("1", "und", 25), ("None", "de", 25)]
+    assert not any(r.not_prose for r in got if r.n_words == 0)
+
+
+def test_plain_statistics(spark):
+    """Counted by hand: words are runs of letters; lines end with a mark, also before a closing quote."""
+    text = "The cap, it is 12.5 mm.\r\n\r\nnext line\n<p>\"Done!\"</p>"
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    r = text_quality.document_statistics(docs, spark.createDataFrame([("en", w) for w in ("THE", "is", "it")], "lang string, word string")).first()
+    assert r.n_words == 8 and r.mean_word_length == pytest.approx(24 / 8)
+    assert r.symbol_ratio == pytest.approx(6 / 33) and r.digit_ratio == pytest.approx(3 / 33)
+    assert r.punctuated_lines == pytest.approx(2 / 3) and r.common_share == pytest.approx(3 / 8)
+    assert r.words_per_line == pytest.approx(8 / 3)
 
 
 def test_sketches_merge(spark):
-    rows = [(float(i),) * 8 for i in range(2000)]
+    rows = [(float(i),) * len(text_quality.STATISTICS) for i in range(2000)]
     df = spark.createDataFrame([("en", *r) for r in rows], "language string, " + ", ".join(f"{s} double" for s in text_quality.STATISTICS))
-    parts = text_quality.language_sketches(df.where("n_words < 700")).unionByName(text_quality.language_sketches(df.where("n_words >= 700")))
-    q = text_quality.quartiles(text_quality.merged_sketches(parts)).where("statistic = 'n_words'").first()
+    parts = text_quality.language_sketches(df.where("run_words < 700")).unionByName(text_quality.language_sketches(df.where("run_words >= 700")))
+    q = text_quality.quartiles(text_quality.merged_sketches(parts)).where("statistic = 'run_words'").first()
     assert q.n_values == 2000 and abs(q.median - 1000) < 60
