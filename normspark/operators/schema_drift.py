@@ -8,8 +8,8 @@ differs from the file before is a retyping. A start and an ending in the same fi
 if the entries that both files hold agree on the values. The renamings link lifespans of a producer's fields; linked
 lifespans are one column of the alias table, from which the casts of the consistent table are generated.
 
-The lines are parsed once, to one row a field (``read_fields``), from which all else is derived; the
-consistent table reads the lines again.
+The lines are parsed once, to one row a field (``read_fields``), from which the log and the alias table are derived; the
+consistent table parses them once more.
 
 Defined results: a line that is null, empty, not JSON or not one object is unreadable and counts for
 nothing, but its file keeps its place in the series. Of a key that a line repeats the last value counts. Rows
@@ -71,47 +71,32 @@ def kind_of(value: Column) -> Column:
     than 18 digits is kept by Spark as a decimal without scale and counts as an integer.
     """
     t = F.schema_of_variant(value)
-    return (
-        F.when(t == "BIGINT", "integer")
-        .when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
-        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "double")
-        .when(t == "STRING", "string")
-        .when(t == "BOOLEAN", "boolean")
-        .when(t.startswith("ARRAY"), "list")
-        .when(t.startswith("OBJECT"), "object")
-    )
+    head = F.substring(t, 1, 4)
+    names = {"BIGI": "integer", "DOUB": "double", "FLOA": "double", "STRI": "string", "BOOL": "boolean", "ARRA": "list", "OBJE": "object"}
+    decimal = F.when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer").otherwise("double")  # 12.0 has fewer digits
+    return F.when(head == "DECI", decimal).otherwise(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), head))
 
 
 def explode_fields(records: DataFrame) -> DataFrame:
     """One row for each key of each readable record: ``field``, ``value`` (variant) and ``kind``."""
     spark = records.sparkSession
+    # an unreadable record is null and has no keys; a filter on it would parse the line once more
     rows = spark.sql(
         "SELECT r.report_series, r.file_name, r.entry_id, e.key AS field, e.value AS value "
         "FROM {r} AS r, LATERAL variant_explode(r.record) AS e",
-        r=records.where("record IS NOT NULL AND report_series IS NOT NULL AND file_name IS NOT NULL"),
+        r=records.where("report_series IS NOT NULL AND file_name IS NOT NULL"),
     )
     return rows.withColumn("kind", kind_of(F.col("value")))
 
 
 def read_fields(raw: DataFrame) -> DataFrame:
-    """The lines parsed, once: a row for each key of each readable record.
+    """The lines parsed: a row for each key of each readable record.
 
-    ``report_series, file_name, entry_id, field, kind``, ``same`` (a 64-bit hash of kind and value, null for
-    a null; double values by their number), and what the column types need to know: ``numeric`` (a number, or a string that is one), ``wide``
-    (an integer beyond 64 bits) and ``inexact`` (one without an exact double).
+    ``report_series, file_name, entry_id, field, kind`` and ``same`` (a 64-bit hash of kind and value, null for
+    a null; double values by their number).
     """
-    number = F.try_variant_get("value", "$", "double")
-    long = F.try_variant_get("value", "$", "bigint")
-    whole = F.col("kind") == "integer"
-    text = F.when(F.col("kind") == "double", number.cast("string")).otherwise(F.to_json("value"))
-    as_text = F.try_variant_get("value", "$", "string").try_cast("double").isNotNull()
-    return explode_fields(read_records(raw)).select(
-        "report_series", "file_name", "entry_id", "field", "kind",
-        F.when(F.col("kind").isNotNull(), F.xxhash64("kind", text)).alias("same"),
-        F.when(F.col("kind").isin("integer", "double"), True).when(F.col("kind") == "string", as_text).otherwise(False).alias("numeric"),
-        (whole & long.isNull()).alias("wide"),
-        (whole & (long.isNull() | (long > EXACT) | (long < -EXACT))).alias("inexact"),
-    )
+    text = F.when(F.col("kind") == "double", F.try_variant_get("value", "$", "double").cast("string")).otherwise(F.to_json("value"))
+    return explode_fields(read_records(raw)).select("report_series", "file_name", "entry_id", "field", "kind", F.when(F.col("kind").isNotNull(), F.xxhash64("kind", text)).alias("same"))
 
 
 def files_of(raw: DataFrame) -> DataFrame:
@@ -269,15 +254,23 @@ def drift_log(raw: DataFrame) -> DataFrame:
     return Drift(raw).log()
 
 
-def column_types(fields: DataFrame) -> dict[str, str]:
-    """Column -> the type that holds all its values; ``fields`` has ``column`` and what ``read_fields`` says of each value.
+def column_types(values: DataFrame) -> dict[str, str]:
+    """Column -> the type that holds all its values; ``values``: ``column, value`` (variant).
 
     A list of strings where some values are lists; bigint, or decimal(38,0) where integers are longer; double for
     numbers, also where strings are numbers, unless an integer has no exact double; boolean; string for any other mixture. The driver
     gets one row for each column and kind: schema metadata.
     """
+    known = values.withColumn("kind", kind_of(F.col("value")))
+    long, whole, string = F.try_variant_get("value", "$", "bigint"), F.col("kind") == "integer", F.try_variant_get("value", "$", "string")
+    fields = known.select(
+        "column", "kind",
+        F.when(F.col("kind").isin("integer", "double"), True).when(F.col("kind") == "string", string.try_cast("double").isNotNull()).otherwise(False).alias("numeric"),
+        (whole & long.isNull()).alias("wide"),
+        (whole & ~F.coalesce(long.between(-EXACT, EXACT), F.lit(False))).alias("inexact"),
+    )
     rows = fields.where("kind IS NOT NULL").groupBy("column", "kind").agg(F.min("numeric").alias("numeric"), F.max("wide").alias("wide"), F.max("inexact").alias("inexact")).collect()
-    by_column: dict[str, list] = {r.column: [] for r in fields.select("column").distinct().collect()}
+    by_column: dict[str, list] = {r.column: [] for r in values.select("column").distinct().collect()}
     for r in rows:
         by_column[r.column].append(r)
     types = {}
@@ -307,10 +300,11 @@ def unified(raw: DataFrame, drift: Drift | None = None) -> DataFrame:
     aliases = cut(drift.aliases())
     within = (F.col("c.field") == F.col("a.field")) & (F.col("c.report_series") == F.col("a.report_series")) & F.col("c.idx").between(F.col("a.first_idx"), F.col("a.last_idx"))
     by_file = cut(drift.catalogue.alias("c").join(aliases.alias("a"), within).select("c.report_series", "c.file_name", "c.field", "a.column"))
-    types = column_types(drift.fields.join(broadcast_if_small(by_file), ["report_series", "file_name", "field"]))
     names = by_file.groupBy("report_series", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("column", "field"))).alias("_names"))
     once = raw.where("report_series IS NOT NULL AND file_name IS NOT NULL").dropDuplicates(["report_series", "file_name", "line_no", "entry_id", "raw_record"])
     rows = parsed(once, lambda r: read_records(r).where("record IS NOT NULL").select("report_series", "file_name", "line_no", "entry_id", F.col("record").cast("map<string,variant>").alias("_values")))
+    exploded = rows.select("report_series", "file_name", F.explode("_values").alias("field", "value"))
+    types = column_types(exploded.join(broadcast_if_small(by_file), ["report_series", "file_name", "field"]).select("column", "value"))
     rows = rows.join(broadcast_if_small(names), ["report_series", "file_name"], "left")
     columns = []
     for column, kind in sorted(types.items()):
