@@ -27,14 +27,18 @@ def exact_groups(df: DataFrame, digest: str, key: str) -> DataFrame:
 
 
 def banded_pairs(df: DataFrame, key: str, bits: str, within: list[str], distance: int) -> DataFrame:
-    """``key_a, key_b, distance``: pairs with the same 16-bit word at one of four places whose hashes differ in at most ``distance`` bits.
+    """``key_a, key_b, distance``: pairs whose 64-bit hashes differ in at most ``distance`` bits.
 
-    Rows of equal hash are one node of the join; each class is linked to its representative (the least key), so
-    a group of copies costs its size, not its square. Pairs are between representatives, and copies with theirs.
+    The hash is cut into more words than bits may differ (four at least), so a pair has a word in common. Rows of equal hash are one node of the join; each class is
+    linked to its representative (the least key), so a group of copies costs its size, not its square. Pairs are between representatives, and copies with theirs.
     """
+    if not 0 <= distance < 64:
+        raise ValueError("a distance of 0 to 63 bits")
     known = df.where(F.col(bits).isNotNull() & F.col(key).isNotNull()).select(key, bits, *within)
     reps = known.groupBy(*within, bits).agg(F.min(key).alias("rep"))
-    words = F.array(*(F.struct(F.lit(i).alias("place"), F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("word")) for i in range(4)))
+    n = max(4, distance + 1)
+    cuts = [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+    words = F.array(*(F.struct(F.lit(i).alias("place"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("word")) for i, (a, b) in enumerate(cuts)))
     banded = reps.withColumn("_w", F.explode(words)).select(*within, F.col(bits).alias("h"), "rep", "_w.place", "_w.word")
     on = [*within, "place", "word"]
     other = banded.select(*on, F.col("h").alias("h2"), F.col("rep").alias("rep2"))

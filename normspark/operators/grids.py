@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normspark.operators.metrics import ratio
+from normspark.operators.metrics import correlation, ranking_metrics, ratio
+from normspark.session import cut
 
 
 def top_fraction_mean(pixels: DataFrame, keys: list[str], score: str, fraction: float, order: list[str]) -> DataFrame:
@@ -72,36 +73,64 @@ def localization_summary(measured: DataFrame, keys: list[str], label: str) -> Da
     )
 
 
-def aupro(pixels: DataFrame, image: str, region: str, score: str, thresholds: int = 30, limit: float = 0.3) -> DataFrame:
-    """Area under the mean region overlap against background false positives up to ``limit``, over ``limit``; 0 for constant maps.
+def pixel_metrics(pixels: DataFrame, keys: list[str], image: str, mask: str, score: str, threshold: str) -> DataFrame:
+    """Per group: AUROC and average precision over the pixels of all its images, and the mean over images of the IoU of ``score > threshold``.
 
-    ``region`` is null for background. Each pixel is put into the bin of the highest of the evenly spaced thresholds it reaches;
-    counts per region and bin are summed from the top, one pass over the pixels.
+    An image without mask and support has IoU 1. Null and NaN scores don't count. Groups of one class have null rankings.
     """
-    span = pixels.agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))
+    usable = pixels.where(F.col(mask).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    m, s = F.col(mask), F.col(score) > F.col(threshold)
+    per_image = usable.groupBy(*keys, image).agg(F.sum((m & s).cast("long")).alias("_i"), F.sum((m | s).cast("long")).alias("_u"))
+    ious = per_image.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_images"), F.avg(F.coalesce(ratio(F.col("_i"), F.col("_u")), F.lit(1.0))).alias("pixel_iou_mean"))
+    ranked = ranking_metrics(usable.withColumn("_t", m.cast("int")), keys, "_t", score)
+    return ious.join(ranked.select(*keys, F.col("auroc").alias("pixel_auroc"), F.col("average_precision").alias("pixel_ap"), (F.col("n_anomalous") + F.col("n_normal")).alias("pixel_count")), keys)
+
+
+def map_correlation(pixels: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Per pair of maps their Pearson correlation; where one is constant, 1 if the maps are equal throughout, else 0."""
+    constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    same = F.min((F.col(a) == F.col(b)).cast("double"))
+    known = pixels.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return known.groupBy(*keys).agg(F.when(constant, same).otherwise(correlation(a, b)).alias("correlation"))
+
+
+def aupro(pixels: DataFrame, keys: list[str], image: str, region: str, score: str, thresholds: int = 100, limit: float = 0.3) -> DataFrame:
+    """Per group the area under the mean region overlap against background false positives up to ``limit``, over ``limit``.
+
+    ``region`` numbers the 4-connected components of an image's mask (``labelled_pixels``), null for background. A pixel is found at
+    a threshold that its score exceeds; the thresholds lie evenly from the group's highest score to its lowest. Each pixel is put into the bin of the first threshold
+    that finds it; counts per region and bin are summed from the top, one pass over the pixels. Of the points up to the limit each false positive rate takes its
+    best overlap, overlaps don't fall, and the last one holds up to the limit. Constant maps have 0, groups without background null.
+    """
+    if not keys:
+        return aupro(pixels.withColumn("_all", F.lit(0)), ["_all"], image, region, score, thresholds, limit).drop("_all")
+    known = pixels.where(F.col(score).isNotNull() & ~F.isnan(score))
+    span = known.groupBy(*keys).agg(F.max(score).cast("double").alias("_hi"), F.min(score).cast("double").alias("_lo"))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(thresholds - 1))
-    # threshold i is hi - i * step, the last one exactly lo
-    i = F.least(F.lit(thresholds - 1), F.greatest(F.lit(0), F.ceil((F.col("_hi") - F.col(score)) / step - 1e-9))).cast("int")
-    binned = pixels.crossJoin(F.broadcast(span)).where("_hi > _lo").groupBy(image, region, i.alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
-    regions = binned.where(F.col(region).isNotNull()).withColumn("_size", F.sum("_c").over(Window.partitionBy(image, region)))
-    n_regions = regions.select(image, region).distinct().agg(F.count(F.lit(1)).alias("_regions"))
-    overlap = regions.groupBy("_i").agg(F.sum(F.col("_c") / F.col("_size")).alias("_o"))
-    background = binned.where(F.col(region).isNull()).groupBy("_i").agg(F.sum("_c").alias("_b"))
-    total = background.agg(F.sum("_b").alias("_total"))
-    upto = Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # from here on there are as many rows as thresholds
-    curve = (
-        pixels.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("_i")).join(overlap, "_i", "left").join(background, "_i", "left").crossJoin(n_regions).crossJoin(total)
-        .select("_i", (F.sum(F.coalesce("_o", F.lit(0.0))).over(upto) / F.nullif(F.col("_regions"), F.lit(0))).alias("pro"), (F.sum(F.coalesce("_b", F.lit(0))).over(upto) / F.nullif(F.col("_total"), F.lit(0))).alias("fpr"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col(score).cast("double")) / step + 1e-9) + 1).otherwise(F.lit(thresholds)).cast("int")
+    binned = cut(known.join(span, keys).groupBy(*keys, image, region, place.alias("_i")).agg(F.count(F.lit(1)).alias("_c")))
+    inside = binned.where(F.col(region).isNotNull())
+    size = inside.groupBy(*keys, image, region).agg(F.sum("_c").alias("_size"))
+    overlap = inside.join(size, [*keys, image, region]).groupBy(*keys, "_i").agg(F.sum(F.col("_c") / F.col("_size")).alias("_o"))
+    background = binned.where(F.col(region).isNull()).groupBy(*keys, "_i").agg(F.sum("_c").alias("_b"))
+    totals = span.join(size.groupBy(*keys).agg(F.count(F.lit(1)).alias("_regions")), keys, "left").join(background.groupBy(*keys).agg(F.sum("_b").alias("_total")), keys, "left")
+    # from here on a group has as many rows as thresholds
+    upto = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = totals.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))))
+    curve = bins.join(overlap, [*keys, "_i"], "left").join(background, [*keys, "_i"], "left").select(
+        *keys,
+        F.coalesce(F.sum(F.coalesce("_o", F.lit(0.0))).over(upto) / F.col("_regions"), F.lit(0.0)).alias("pro"),
+        (F.sum(F.coalesce("_b", F.lit(0))).over(upto) / F.col("_total")).alias("fpr"),
     )
-    best = curve.groupBy("fpr").agg(F.max("pro").alias("pro")).unionByName(curve.limit(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("pro"))).groupBy("fpr").agg(F.max("pro").alias("pro"))
-    by_fpr = Window.orderBy("fpr")
+    start = totals.select(*keys, F.lit(0.0).alias("pro"), F.lit(0.0).alias("fpr"))
+    best = curve.where(F.col("fpr") <= limit).unionByName(start).groupBy(*keys, "fpr").agg(F.max("pro").alias("pro"))
+    by_fpr = Window.partitionBy(*keys).orderBy("fpr")
     steps = best.withColumn("pro", F.max("pro").over(by_fpr.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    steps = steps.withColumns({"_pf": F.lag("fpr").over(by_fpr), "_pp": F.lag("pro").over(by_fpr), "_nf": F.lead("fpr").over(by_fpr)}).where(F.col("fpr") <= limit)
-    # up to the limit the curve goes on at its last value
+    steps = steps.withColumns({"_pf": F.lag("fpr").over(by_fpr), "_pp": F.lag("pro").over(by_fpr), "_last": F.lead("fpr").over(by_fpr).isNull()})
     area = F.coalesce((F.col("fpr") - F.col("_pf")) * (F.col("pro") + F.col("_pp")) / 2, F.lit(0.0))
-    tail = F.when(F.coalesce(F.col("_nf") > limit, F.lit(True)), (F.lit(limit) - F.col("fpr")) * F.col("pro")).otherwise(0.0)
-    return steps.agg(F.coalesce(F.sum(area + tail) / limit, F.lit(0.0)).alias("aupro"))
+    tail = F.when(F.col("_last"), (F.lit(limit) - F.col("fpr")) * F.col("pro")).otherwise(0.0)
+    value = steps.groupBy(*keys).agg((F.sum(area + tail) / limit).alias("_area"))
+    return totals.join(value, keys).select(*keys, F.when(F.col("_hi") <= F.col("_lo"), 0.0).when(F.col("_total").isNotNull(), F.col("_area")).alias("aupro"))
 
 
 def strata(regions: DataFrame, tiny: float, small: float) -> DataFrame:
@@ -130,53 +159,128 @@ def region_measurements(pixels: DataFrame, keys: list[str], region: str, support
     )
 
 
-def label_regions(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a mask, numbered from 1 in reading order; 0 is background."""
-    out = np.zeros(mask.shape, np.int32)
-    number = 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if out[y, x]:
-            continue
-        number += 1
-        out[y, x] = number
-        queue = deque([(y, x)])
-        while queue:
-            a, b = queue.popleft()
-            for i in range(max(0, a - 1), min(mask.shape[0], a + 2)):
-                for j in range(max(0, b - 1), min(mask.shape[1], b + 2)):
-                    if mask[i, j] and not out[i, j]:
-                        out[i, j] = number
-                        queue.append((i, j))
+def component_labels(frame: np.ndarray, y: np.ndarray, x: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """For pixels of a mask (frame number, y, x) the number of their connected component within the frame.
+
+    Components are numbered from 1 in the reading order of their first pixel. All frames at once: each pixel takes the least place in its
+    neighbourhood and then that place's own, until nothing changes.
+    """
+    n = len(frame)
+    if not n:
+        return np.empty(0, np.int64)
+    width, height = int(x.max()) + 3, int(y.max()) + 3
+    key = (frame.astype(np.int64) * height + y + 1) * width + x + 1
+    order = np.argsort(key, kind="stable")
+    places, back = np.unique(key[order], return_inverse=True)
+    steps = [1, width] if connectivity == 4 else [1, width - 1, width, width + 1]
+    links = []
+    for d in steps:
+        at = np.minimum(np.searchsorted(places, places + d), len(places) - 1)
+        own = np.flatnonzero(places[at] == places + d)
+        links.append((own, at[own]))
+    a, b = (np.concatenate(side) for side in zip(*links, strict=True))
+    label = np.arange(len(places))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    while (label != label[label]).any():
+        label = label[label]
+    # places are in the order of frames and of reading, so roots are too
+    roots = np.unique(label)
+    first = places[roots] // (height * width)
+    number = np.arange(len(roots)) - np.searchsorted(first, first, "left") + 1
+    out = np.empty(n, np.int64)
+    out[order] = number[np.searchsorted(roots, label)][back]
+    return out
+
+
+def label_regions(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """Connected components of a mask, numbered from 1 in reading order; 0 is background."""
+    out = np.zeros(mask.shape, np.int64)
+    y, x = np.nonzero(mask)
+    out[y, x] = component_labels(np.zeros(len(y), np.int64), y, x, connectivity)
     return out
 
 
-def hysteresis(scores: np.ndarray, low: float, high: float, least_area: int, radius: int) -> np.ndarray:
-    """Components above ``low`` that hold a pixel above ``high`` and have ``least_area`` pixels, near (``radius``) such a pixel."""
-    regions = label_regions(scores > low)
-    seeds = scores > high
-    keep = np.zeros(scores.shape, bool)
-    for n in np.unique(regions[seeds & (regions > 0)]):
-        own = regions == n
-        if own.sum() >= least_area:
-            keep |= own
-    ys, xs = np.nonzero(seeds)
-    near = np.zeros(scores.shape, bool)
-    for y, x in zip(ys, xs, strict=True):
-        near[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1] = True
-    return keep & near
+def labelled_pixels(pixels: DataFrame, keys: list[str], mask: str, connectivity: int = 8) -> DataFrame:
+    """``pixels`` with ``region_id`` of the components of an image's mask (``component_labels``), null outside of it.
+
+    ``keys`` name the image; an image, a bounded frame, is in one task, many images at once.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pixels.dtypes)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = pdf[mask].fillna(False).to_numpy(bool)
+        frame = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        number = np.zeros(len(pdf), np.int64)
+        number[inside] = component_labels(frame[inside], pdf["y"].to_numpy(np.int64)[inside], pdf["x"].to_numpy(np.int64)[inside], connectivity)
+        return pdf.assign(region_id=number.astype("int32"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = pdf[keys].iloc[-1]
+            differs = ~(pdf[keys].eq(last) | (pdf[keys].isna() & last.isna())).all(axis=1).to_numpy()
+            if differs.any():  # the batch's last image may go on in the next one
+                stop = int(np.flatnonzero(differs)[-1]) + 1
+                yield label(pd.concat([*held, pdf.iloc[:stop]], ignore_index=True))
+                held, pdf = [], pdf.iloc[stop:]
+            held.append(pdf)
+        if held:
+            yield label(pd.concat(held, ignore_index=True))
+
+    out = pixels.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{kinds}, region_id int")
+    return out.withColumn("region_id", F.nullif(F.col("region_id"), F.lit(0)))
+
+
+def seeded_regions(pixels: DataFrame, keys: list[str], score: str, low: str, high: str, least_area: int, radius: int | None = None) -> DataFrame:
+    """The support of hysteresis: ``keys, y, x, region_id`` of the kept pixels.
+
+    A pixel is a candidate if its score is above ``low`` and, with a ``radius``, a pixel above ``high`` is within so many rows and columns. The 8-connected components of
+    candidates are kept that hold a pixel above ``high`` and have ``least_area`` pixels. Null scores are never candidates.
+    """
+    rows = pixels.select(*keys, "y", "x", (F.col(score) > F.col(low)).alias("_low"), (F.col(score) > F.col(high)).alias("_high")).where("_low")
+    if radius is not None:
+        near = rows.where("_high").withColumn("y", F.explode(F.sequence(F.col("y") - radius, F.col("y") + radius)))
+        seeds = near.withColumn("x", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius))).select(*keys, "y", "x").distinct()
+        rows = rows.join(seeds, [*keys, "y", "x"], "left_semi")
+    labelled = labelled_pixels(rows, keys, "_low")
+    kept = labelled.groupBy(*keys, "region_id").agg(F.bool_or("_high").alias("_seeded"), F.count(F.lit(1)).alias("_area")).where(F.col("_seeded") & (F.col("_area") >= least_area))
+    return labelled.join(kept.select(*keys, "region_id"), [*keys, "region_id"], "left_semi").select(*keys, "y", "x", "region_id")
 
 
-def labelled_pixels(pixels: DataFrame, image: str, mask: str) -> DataFrame:
-    """``pixels`` with ``region_id`` of the mask's components; each image (a bounded frame) is one group."""
-    kinds = ", ".join(f"{c} {t}" for c, t in pixels.dtypes)
+#: Readout policies of a localization model.
+POLICIES = ["baseline_global", "raw_cleaned", "raw_global", "raw_hysteresis", "spatial_global", "spatial_hysteresis"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), bool)
-        grid[pdf.y, pdf.x] = pdf[mask].fillna(False).to_numpy(bool)
-        found = label_regions(grid)[pdf.y, pdf.x]
-        return pdf.assign(region_id=pd.Series(np.where(found > 0, found, -1), index=pdf.index).astype("int32"))
 
-    return pixels.groupBy(image).applyInPandas(run, f"{kinds}, region_id int").withColumn("region_id", F.nullif(F.col("region_id"), F.lit(-1)))
+def localization_support(pixels: DataFrame, keys: list[str], score: str, z: str, policy: str, baseline: str, model: dict[str, str], least_area: int, radius: int) -> DataFrame:
+    """The support of a policy: ``keys, y, x, region_id`` (null region for ``baseline_global``).
+
+    ``pixels`` has the raw score, its ``z`` against the cell's normal scores, the ``baseline`` threshold and, under the names in ``model``, the fitted thresholds ``raw_low, raw_high,
+    spatial_low, spatial_high, spatial_global``. Spatial policies read ``z``; hysteresis grows from high to low within ``radius``; the others
+    keep the components above their one threshold.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}; there are {POLICIES}")
+    spatial = policy.startswith("spatial")
+    value = z if spatial else score
+    if policy == "baseline_global":
+        return pixels.where(F.col(value) > F.col(baseline)).select(*keys, "y", "x", F.lit(None).cast("int").alias("region_id"))
+    if policy == "raw_cleaned":
+        return seeded_regions(pixels, keys, value, baseline, baseline, least_area, 0)
+    if policy.endswith("hysteresis"):
+        low, high = (model["spatial_low"], model["spatial_high"]) if spatial else (model["raw_low"], model["raw_high"])
+        return seeded_regions(pixels, keys, value, low, high, least_area, radius)
+    high = model["spatial_global"] if spatial else model["raw_high"]
+    return seeded_regions(pixels, keys, value, high, high, least_area, 0)
 
 
 def tile_layout(frames: DataFrame, height: str, width: str, tile: int, stride: int) -> DataFrame:
@@ -188,16 +292,16 @@ def tile_layout(frames: DataFrame, height: str, width: str, tile: int, stride: i
     return frames.withColumn("top", F.explode(F.expr(starts(height)))).withColumn("left", F.explode(F.expr(starts(width))))
 
 
-def tile_blend(tiles: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Score of each frame pixel: mean over its tiles with raised-cosine weights, positive at the tile's edge.
+def tile_blend(tiles: DataFrame, keys: list[str], size: int, floor: float = 0.05) -> DataFrame:
+    """Score of each frame pixel: mean over its tiles, weighted on either axis by ``floor + (1 - floor) sin²`` over the tile.
 
     ``tiles``: ``keys, top, left, y, x`` (within the tile) and ``score``.
     """
 
     def weight(axis: str) -> Column:
-        return F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * np.pi) * (F.col(axis) + 0.5) / F.lit(size))
+        return F.lit(floor) + F.lit(1 - floor) * F.pow(F.sin(F.lit(np.pi) * (F.col(axis) + 0.5) / F.lit(size)), F.lit(2))
 
-    w = F.greatest(weight("y") * weight("x"), F.lit(1e-6))
+    w = weight("y") * weight("x")
     return tiles.groupBy(*keys, (F.col("top") + F.col("y")).alias("frame_y"), (F.col("left") + F.col("x")).alias("frame_x")).agg((F.sum(w * F.col("score")) / F.sum(w)).alias("score"))
 
 

@@ -92,9 +92,9 @@ def nested_counts(s, d):
     return relations.nested_counts(records(s, d), {"split": ["train", "validation", "test"], "label": ["normal", "anomaly"], "category": categories})
 
 
-@query(_RECORDS + " SELECT category, split, image_path, row_number() OVER (PARTITION BY category ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 END, image_path) AS place FROM records WHERE split IN ('train', 'validation', 'test') QUALIFY place <= 5")
+@query(_RECORDS + " SELECT category, split, image_path, row_number() OVER (PARTITION BY category ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'test' THEN 2 END, image_path, sample_id) AS place FROM records WHERE split IN ('train', 'validation', 'test')")
 def canonical_order(s, d):
-    """Every record's place in its category; the SQL stops at the fifth."""
+    """Every record's place in its category."""
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).when(F.col("split") == "test", 2)
     rows = records(s, d).where(rank.isNotNull()).select("sample_id", "category", "split", "image_path", rank.alias("_rank"))
     return ordered.places(rows, ["category"], ["_rank", "image_path", "sample_id"]).select("category", "split", "image_path", "place")
@@ -115,11 +115,14 @@ def leakage_check(s, d):
     return relations.leakage(table(s, d, "manifest").withColumn("split", F.lower(F.trim("split"))), "sample_id", "split")
 
 
-@query("SELECT problem, sample_id, n_actual FROM (SELECT CASE WHEN m.sample_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' END AS problem, coalesce(m.sample_id, c.sample_id) AS sample_id, coalesce(n, 0) AS n_actual"
-    " FROM (SELECT DISTINCT sample_id FROM manifest WHERE label = 'normal' AND lower(trim(split)) = 'validation') m FULL JOIN (SELECT sample_id, count(*) AS n FROM calibration_scores WHERE split = 'validation' AND model = 'pooled_bank' GROUP BY sample_id) c ON m.sample_id = c.sample_id) WHERE problem IS NOT NULL")
+@query("WITH e AS (SELECT DISTINCT c.model, m.sample_id FROM (SELECT DISTINCT model FROM calibration_scores) c CROSS JOIN manifest m WHERE label = 'normal' AND lower(trim(split)) = 'validation'), a AS (SELECT model, sample_id, count(*) AS n FROM calibration_scores WHERE split = 'validation' GROUP BY ALL)"
+    " SELECT CASE WHEN e.sample_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem, coalesce(e.model, a.model) AS model, coalesce(e.sample_id, a.sample_id) AS sample_id, coalesce(n, 0) AS n_actual FROM e FULL JOIN a ON e.model = a.model AND e.sample_id = a.sample_id WHERE e.sample_id IS NULL OR n IS NULL OR n > 1")
 def coverage_check(s, d):
-    expected = table(s, d, "manifest").where("label = 'normal' AND lower(trim(split)) = 'validation'")
-    return relations.coverage_gaps(expected, table(s, d, "calibration_scores").where("split = 'validation' AND model = 'pooled_bank'"), ["sample_id"])
+    """Every model scores every normal validation record, once."""
+    scores = table(s, d, "calibration_scores").where("split = 'validation'")
+    models = [r[0] for r in table(s, d, "calibration_scores").where("model IS NOT NULL").select("model").distinct().collect()]  # a fixed dimension
+    expected = table(s, d, "manifest").where("label = 'normal' AND lower(trim(split)) = 'validation'").select("sample_id", F.explode(F.array(*(F.lit(m) for m in models))).alias("model"))
+    return relations.coverage_gaps(expected, scores, ["model", "sample_id"])
 
 
 @query(_RECORDS + ", g AS (SELECT DISTINCT image_path, label, source_split FROM grouping_records) SELECT coalesce(r.image_path, g.image_path) AS image_path, CASE WHEN g.image_path IS NULL THEN 'only_old' WHEN r.image_path IS NULL THEN 'only_new' ELSE 'different' END AS problem"
@@ -227,12 +230,13 @@ def exact_dup_groups(s, d):
 
 
 _HASHES = """
-WITH RECURSIVE h AS (SELECT sample_id, arg_min(category, ingested_at) AS category, lower(trim(arg_min(split, ingested_at))) AS split,
+WITH RECURSIVE h AS (SELECT sample_id, arg_min(dataset_version, ingested_at) AS dv, arg_min(category, ingested_at) AS category, lower(trim(arg_min(split, ingested_at))) AS split, arg_min(image_path, ingested_at) AS image_path,
    CAST('0x' || lpad(replace(lower(arg_min(perceptual_hash, ingested_at)), '0x', ''), 16, '0') AS UBIGINT) AS bits FROM manifest WHERE perceptual_hash IS NOT NULL GROUP BY sample_id),
-r AS (SELECT category, bits, min(sample_id) AS rep FROM h GROUP BY ALL),
-b AS (SELECT category, bits, rep, i AS place, (bits >> (16 * i)::UBIGINT) & 65535::UBIGINT AS word FROM r, (VALUES (0), (1), (2), (3)) t(i)),
-pairs AS (SELECT DISTINCT x.rep AS key_a, y.rep AS key_b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM b x JOIN b y USING (category, place, word) WHERE x.rep < y.rep AND bit_count(xor(x.bits, y.bits)) <= 1
-  UNION ALL SELECT rep, sample_id, 0 FROM h JOIN r USING (category, bits) WHERE sample_id <> rep)
+g AS (SELECT DISTINCT image_path, list_transform(thumbnail, lambda x: x - floor(list_avg(thumbnail))) AS t FROM grouping_records WHERE len(thumbnail) = 1024),
+k AS (SELECT h.*, t, perceptual_max_dhash_distance AS d, perceptual_max_normalized_mae AS mae FROM h JOIN g USING (image_path) JOIN visa_config v ON v.dataset_version = dv WHERE category IS NOT NULL),
+near AS (SELECT a.sample_id AS key_a, b.sample_id AS key_b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance, a.t AS ta, b.t AS tb, a.mae AS mae FROM k a JOIN k b ON a.dv = b.dv AND a.category = b.category AND a.sample_id < b.sample_id
+  WHERE bit_count(xor(a.bits, b.bits)) <= a.d AND len(list_filter([0, 16, 32, 48], lambda i: ((a.bits >> i::UBIGINT) & 65535::UBIGINT) = ((b.bits >> i::UBIGINT) & 65535::UBIGINT))) > 0),
+pairs AS (SELECT DISTINCT key_a, key_b, distance FROM near WHERE list_sum(list_transform(list_zip(ta, tb), lambda z: abs(z[1] - z[2]))) / 1024.0::DOUBLE <= mae)
 """
 
 
@@ -244,7 +248,7 @@ def _hashes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Pairs that look the same under the limits of their dataset_version; the SQL stops at hashes 1 bit apart and has no thumbnails."""
+    """Pairs that look the same under the limits of their dataset_version."""
     return duplicates.near_duplicates(_hashes(s, d), table(s, d, "grouping_records"), table(s, d, "visa_config"))
 
 
@@ -318,12 +322,22 @@ def kcenter(s, d):
 # --- grids: each order is a frame of 16 x 16 pixels filled by its line items
 
 _GRID = """
-WITH pix AS (SELECT l_orderkey % 200 AS image, (l_partkey % 16)::INTEGER AS y, (l_suppkey % 16)::INTEGER AS x, max(l_extendedprice) AS score, max(l_quantity) > 40 AS mask, max(l_discount) > 0.05 AS support, min(l_tax) AS other FROM lineitem GROUP BY ALL)
+WITH RECURSIVE pix AS (SELECT l_orderkey AS image, (l_partkey % 16)::INTEGER AS y, (l_suppkey % 16)::INTEGER AS x, max(l_extendedprice) AS score, max(l_quantity) > 40 AS mask, max(l_discount) > 0.05 AS support, min(l_tax) AS other FROM lineitem GROUP BY ALL)
+"""
+
+
+def _labels(connectivity: int) -> str:
+    """SQL: ``lab``, the connected components of the mask of ``pix``, numbered in reading order."""
+    near = "abs(a.y - b.y) + abs(a.x - b.x) = 1" if connectivity == 4 else "greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1"
+    return f"""
+, m AS (SELECT image, y, x FROM pix WHERE mask), e AS (SELECT a.image, a.y, a.x, b.y AS ty, b.x AS tx FROM m a JOIN m b ON a.image = b.image WHERE {near}),
+r(image, y, x, ty, tx) AS (SELECT image, y, x, y, x FROM m UNION SELECT r.image, r.y, r.x, e.ty, e.tx FROM r JOIN e ON e.image = r.image AND e.y = r.ty AND e.x = r.tx),
+lab AS (SELECT image, y, x, dense_rank() OVER (PARTITION BY image ORDER BY first)::INTEGER AS region_id FROM (SELECT image, y, x, min(ty * 16 + tx) AS first FROM r GROUP BY ALL))
 """
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    """Pixels of one frame per order; the SQL folds the orders into 200."""
+    """Pixels of one frame per order."""
     return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x")).agg(
         F.max("l_extendedprice").alias("score"), (F.max("l_quantity") > 40).alias("mask"), (F.max("l_discount") > 0.05).alias("support"), F.min("l_tax").alias("other")
     )
@@ -366,12 +380,11 @@ def localization_summary(s, d):
     return rounded(out, ["foreground_iou", "foreground_dice", "foreground_recall", "normal_pixel_fpr", "all_image_iou"], 5)
 
 
-_REGIONS = _GRID + ", reg AS (SELECT image, y // 4 AS region_id, count(*) AS region_pixels, count(*) / 256.0::DOUBLE AS region_fraction, avg(support::INT) AS region_recall, (avg(support::INT) >= 0.1)::INTEGER AS region_hit FROM pix WHERE mask GROUP BY ALL)"
+_REGIONS = _GRID + _labels(8) + ", reg AS (SELECT image, region_id, count(*) AS region_pixels, count(*) / 256.0::DOUBLE AS region_fraction, avg(support::INT) AS region_recall, (avg(support::INT) >= 0.1)::INTEGER AS region_hit FROM pix JOIN lab USING (image, y, x) GROUP BY ALL)"
 
 
 def _regions(s: SparkSession, d: str) -> DataFrame:
-    labelled = _grid(s, d).where("mask").withColumn("region_id", F.floor(F.col("y") / 4).cast("int"))
-    return grids.region_measurements(labelled, ["image"], "region_id", "support", 256)
+    return grids.region_measurements(grids.labelled_pixels(_grid(s, d), ["image"], "mask"), ["image"], "region_id", "support", 256)
 
 
 @query(_REGIONS + " SELECT image, region_id, region_pixels, round(region_fraction, 6) AS region_fraction, round(region_recall, 6) AS region_recall, region_hit FROM reg")
@@ -379,8 +392,8 @@ def region_measurements(s, d):
     return rounded(_regions(s, d), ["region_fraction", "region_recall"])
 
 
-@query(_REGIONS + ", st AS (SELECT *, CASE WHEN region_fraction <= 0.01 THEN 'tiny' WHEN region_fraction <= 0.03 THEN 'small' ELSE 'large' END AS stratum FROM reg), e AS (SELECT * EXCLUDE (stratum), unnest(CASE WHEN stratum = 'large' THEN ['large', 'all'] ELSE [stratum, 'small_inclusive', 'all'] END) AS stratum FROM st)"
-    " SELECT stratum, count(*) AS n_regions, sum(region_hit)::BIGINT AS n_hits, count(DISTINCT image) AS n_images, round(avg(region_hit), 6) AS hit_rate, round(avg(region_recall), 6) AS mean_recall FROM e GROUP BY stratum")
+@query(_REGIONS + ", st AS (SELECT *, CASE WHEN region_fraction <= 0.01 THEN 'tiny' WHEN region_fraction <= 0.03 THEN 'small' ELSE 'large' END AS stratum FROM reg), ex AS (SELECT * EXCLUDE (stratum), unnest(CASE WHEN stratum = 'large' THEN ['large', 'all'] ELSE [stratum, 'small_inclusive', 'all'] END) AS stratum FROM st)"
+    " SELECT stratum, count(*) AS n_regions, sum(region_hit)::BIGINT AS n_hits, count(DISTINCT image) AS n_images, round(avg(region_hit), 6) AS hit_rate, round(avg(region_recall), 6) AS mean_recall FROM ex GROUP BY stratum")
 def overlapping_strata(s, d):
     return rounded(grids.overlapping_strata(grids.strata(_regions(s, d), 0.01, 0.03), [], "image"), ["hit_rate", "mean_recall"])
 
@@ -390,7 +403,7 @@ def tile_layout(s, d):
     return grids.tile_layout(table(s, d, "manifest").where("height >= 448 AND width >= 448").select("height", "width").distinct(), "height", "width", 448, 224)
 
 
-@query(_GRID + ", w AS (SELECT image % 20 AS frame, (image // 20 % 3) * 8 AS top, 0 AS \"left\", y, x, score, greatest((0.5 - 0.5 * cos(2 * pi() * (y + 0.5) / 16)) * (0.5 - 0.5 * cos(2 * pi() * (x + 0.5) / 16)), 1e-6) AS w FROM pix) SELECT frame, (top + y)::INTEGER AS frame_y, (\"left\" + x)::INTEGER AS frame_x, round(sum(w * score) / sum(w), 5) AS score FROM w GROUP BY 1, 2, 3")
+@query(_GRID + ", w AS (SELECT image // 3 AS frame, (image % 3) * 8 AS top, 0 AS \"left\", y, x, score, (0.05 + 0.95 * pow(sin(pi() * (y + 0.5) / 16), 2)) * (0.05 + 0.95 * pow(sin(pi() * (x + 0.5) / 16), 2)) AS w FROM pix) SELECT frame, (top + y)::INTEGER AS frame_y, (\"left\" + x)::INTEGER AS frame_x, round(sum(w * score) / sum(w), 5) AS score FROM w GROUP BY 1, 2, 3")
 def tile_blend(s, d):
     """Three orders with keys in a row are the overlapping tiles of one frame."""
     tiles = _grid(s, d).select(F.expr("image DIV 3").alias("frame"), (F.col("image") % 3 * 8).cast("int").alias("top"), F.lit(0).alias("left"), "y", "x", "score")
@@ -404,23 +417,77 @@ def cell_zscore(s, d):
     return rounded(grids.cell_zscore(pixels, grids.cell_scale(pixels, ["k"], "score"), ["k"], "score").select("image", "y", "x", "z"), ["z"], 5)
 
 
-_AUPRO = _GRID + """
-, q AS (SELECT image, CASE WHEN mask THEN y // 4 END AS region, score FROM pix), span AS (SELECT max(score) AS hi, min(score) AS lo FROM q),
-t AS (SELECT i, CASE WHEN i = 29 THEN lo ELSE hi - i * ((hi - lo) / 29.0::DOUBLE) END AS t FROM span, range(30) r(i)),
-rs AS (SELECT image, region, count(*) AS size FROM q WHERE region IS NOT NULL GROUP BY ALL),
-o AS (SELECT i, sum(1.0::DOUBLE / size) / (SELECT count(*) FROM rs) AS pro FROM t JOIN q ON score >= t - 1e-6 JOIN rs USING (image, region) GROUP BY i),
-bg AS (SELECT i, count(*)::DOUBLE / (SELECT count(*) FROM q WHERE region IS NULL) AS fpr FROM t JOIN q ON score >= t - 1e-6 WHERE region IS NULL GROUP BY i),
-cu AS (SELECT coalesce(fpr, 0) AS fpr, max(coalesce(pro, 0)) AS pro FROM t LEFT JOIN o USING (i) LEFT JOIN bg USING (i) GROUP BY 1),
-c0 AS (SELECT fpr, max(pro) AS pro FROM (SELECT * FROM cu UNION ALL SELECT 0.0, 0.0) GROUP BY fpr),
-mono AS (SELECT fpr, max(pro) OVER (ORDER BY fpr) AS pro FROM c0), st AS (SELECT *, lag(fpr) OVER (ORDER BY fpr) AS pf, lag(pro) OVER (ORDER BY fpr) AS pp, lead(fpr) OVER (ORDER BY fpr) AS nf FROM mono)
-SELECT round(sum(coalesce((fpr - pf) * (pro + pp) / 2, 0) + CASE WHEN nf IS NULL OR nf > 0.3 THEN (0.3 - fpr) * pro ELSE 0 END) / 0.3, 5) AS aupro FROM st WHERE fpr <= 0.3
+_AUPRO = _GRID + _labels(4) + """
+, q AS (SELECT image % 5 AS grp, image, region_id AS region, score::DOUBLE AS score FROM pix LEFT JOIN lab USING (image, y, x)), span AS (SELECT grp, max(score) AS hi, min(score) AS lo, count(*) FILTER (region IS NULL) AS total FROM q GROUP BY grp),
+t AS (SELECT grp, i, total, (hi - lo) / 99.0::DOUBLE AS step, hi - i * ((hi - lo) / 99.0::DOUBLE) AS t FROM span, range(100) n(i)),
+rs AS (SELECT grp, image, region, count(*) AS size FROM q WHERE region IS NOT NULL GROUP BY ALL), nr AS (SELECT grp, count(*) AS n FROM rs GROUP BY grp),
+o AS (SELECT t.grp, t.i, sum(1.0::DOUBLE / size) / any_value(n) AS pro FROM t JOIN q ON q.grp = t.grp AND q.score > t.t + 1e-9 * t.step JOIN rs ON rs.grp = q.grp AND rs.image = q.image AND rs.region = q.region JOIN nr ON nr.grp = t.grp GROUP BY ALL),
+bg AS (SELECT t.grp, t.i, count(*)::DOUBLE / any_value(t.total) AS fpr FROM t JOIN q ON q.grp = t.grp AND q.score > t.t + 1e-9 * t.step WHERE q.region IS NULL GROUP BY ALL),
+cu AS (SELECT t.grp, coalesce(fpr, 0) AS fpr, coalesce(pro, 0) AS pro FROM t LEFT JOIN o ON o.grp = t.grp AND o.i = t.i LEFT JOIN bg ON bg.grp = t.grp AND bg.i = t.i),
+c0 AS (SELECT grp, fpr, max(pro) AS pro FROM (SELECT * FROM cu UNION ALL SELECT grp, 0.0, 0.0 FROM span) WHERE fpr <= 0.3 GROUP BY ALL),
+mono AS (SELECT grp, fpr, max(pro) OVER (PARTITION BY grp ORDER BY fpr) AS pro FROM c0), st AS (SELECT *, lag(fpr) OVER w AS pf, lag(pro) OVER w AS pp, lead(fpr) OVER w AS nf FROM mono WINDOW w AS (PARTITION BY grp ORDER BY fpr))
+SELECT grp, round(sum(coalesce((fpr - pf) * (pro + pp) / 2, 0) + CASE WHEN nf IS NULL THEN (0.3 - fpr) * pro ELSE 0 END) / 0.3, 5) AS aupro FROM st GROUP BY grp
 """
 
 
 @query(_AUPRO)
 def aupro(s, d):
-    pixels = _grid(s, d).select("image", F.when(F.col("mask"), F.floor(F.col("y") / 4)).alias("region"), "score")
-    return rounded(grids.aupro(cut(pixels), "image", "region", "score"), ["aupro"], 5)
+    pixels = grids.labelled_pixels(_grid(s, d), ["image"], "mask", 4).withColumn("grp", F.col("image") % 5)
+    return rounded(grids.aupro(cut(pixels), ["grp"], "image", "region_id", "score"), ["aupro"], 5)
+
+
+# --- frames: each supplier is a frame of 16 x 16 pixels, most of them filled
+
+_FRAMES = """
+WITH RECURSIVE pix AS (SELECT l_suppkey AS image, (l_partkey % 16)::INTEGER AS y, ((l_orderkey + l_linenumber) % 16)::INTEGER AS x, max(l_extendedprice)::DOUBLE AS score, max(l_quantity) > 48 AS mask, max(l_tax)::DOUBLE AS other FROM lineitem GROUP BY ALL)
+"""
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 16).cast("int").alias("y"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 16).cast("int").alias("x")).agg(
+        F.max("l_extendedprice").cast("double").alias("score"), (F.max("l_quantity") > 48).alias("mask"), F.max("l_tax").cast("double").alias("other")
+    )
+
+
+@query(_FRAMES + _labels(8) + " SELECT image, y, x, region_id FROM lab")
+def connected_regions(s, d):
+    return grids.labelled_pixels(_frames(s, d), ["image"], "mask").where("region_id IS NOT NULL").select("image", "y", "x", "region_id")
+
+
+@query(_FRAMES + _labels(4) + " SELECT image, y, x, region_id FROM lab")
+def connected_regions_4(s, d):
+    return grids.labelled_pixels(_frames(s, d), ["image"], "mask", 4).where("region_id IS NOT NULL").select("image", "y", "x", "region_id")
+
+
+_SEEDED = _FRAMES.replace("pix AS", "raw AS") + """
+, pix AS (SELECT image, y, x, score, true AS mask FROM raw c WHERE score > 50000 AND EXISTS (SELECT 1 FROM raw h WHERE h.image = c.image AND h.score > 85000 AND abs(h.y - c.y) <= 2 AND abs(h.x - c.x) <= 2))
+""" + _labels(8) + " SELECT image, y, x, region_id FROM pix JOIN lab USING (image, y, x) WHERE (image, region_id) IN (SELECT (image, region_id) FROM pix JOIN lab USING (image, y, x) GROUP BY image, region_id HAVING max(score) > 85000 AND count(*) >= 4)"
+
+
+@query(_SEEDED)
+def hysteresis_regions(s, d):
+    pixels = _frames(s, d).withColumns({"low": F.lit(50_000.0), "high": F.lit(85_000.0)})
+    return grids.seeded_regions(pixels, ["image"], "score", "low", "high", 4, 2)
+
+
+_PIXELS = _FRAMES + """
+, q AS (SELECT image % 4 AS grp, image, mask, score FROM pix), iou AS (SELECT grp, image, coalesce(count(*) FILTER (mask AND score > 80000)::DOUBLE / nullif(count(*) FILTER (mask OR score > 80000), 0), 1) AS iou FROM q GROUP BY ALL),
+per AS (SELECT grp, score, count(*) FILTER (mask) AS p, count(*) FILTER (NOT mask) AS n FROM q GROUP BY ALL),
+cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY grp) AS bp, sum(n) OVER (PARTITION BY grp) AS bn FROM per WINDOW w AS (PARTITION BY grp ORDER BY score DESC)),
+rk AS (SELECT grp, sum(n * (tp - p / 2.0::DOUBLE)) / (any_value(bp)::DOUBLE * any_value(bn)) AS auroc, sum(p * tp / (tp + fp)::DOUBLE) / any_value(bp) AS ap, (any_value(bp) + any_value(bn))::BIGINT AS c FROM cu GROUP BY grp)
+SELECT grp, count(*) AS n_images, round(avg(iou), 6) AS pixel_iou_mean, round(any_value(auroc), 6) AS pixel_auroc, round(any_value(ap), 6) AS pixel_ap, any_value(c) AS pixel_count FROM iou JOIN rk USING (grp) GROUP BY grp
+"""
+
+
+@query(_PIXELS)
+def pixel_metrics(s, d):
+    pixels = _frames(s, d).withColumns({"grp": F.col("image") % 4, "threshold": F.lit(80_000.0)})
+    return rounded(grids.pixel_metrics(pixels, ["grp"], "image", "mask", "score", "threshold"), ["pixel_iou_mean", "pixel_auroc", "pixel_ap"])
+
+
+@query(_FRAMES + " SELECT image, round(CASE WHEN min(score) = max(score) OR min(other) = max(other) THEN min((score = other)::INT) ELSE corr(score, other) END, 6) AS correlation FROM pix GROUP BY image")
+def map_correlation(s, d):
+    return rounded(grids.map_correlation(_frames(s, d), ["image"], "score", "other"), ["correlation"])
 
 
 # --- capture-quality gate on document measurements

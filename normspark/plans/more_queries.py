@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normspark.functions import predicates
-from normspark.operators import duplicates, images, metrics, neighbours, resampling, robustness, splits
+from normspark.operators import duplicates, grids, images, metrics, neighbours, resampling, robustness, splits
 from normspark.plans import study
-from normspark.plans.data_queries import _GRID, _HASHES, _RECORDS, _grid, _pairs, records
+from normspark.plans.data_queries import _GRID, _HASHES, _RECORDS, _grid, _labels, _pairs, records
 from normspark.plans.study_queries import _operating, _paired
 from normspark.sources import tables
 from normspark.session import table
@@ -132,13 +132,13 @@ def smallest_anomaly(s, d):
     return area.groupBy((F.col("image") % 5).alias("grp")).agg(F.min_by("image", F.struct("area", "image")).alias("smallest"))
 
 
-@query(_GRID + ", a AS (SELECT image, count(*) FILTER (mask) AS mask_pixels, count(*) FILTER (mask AND support) AS hits, count(*) AS n FROM pix GROUP BY image), r AS (SELECT image, y // 4 AS region, avg(support::INT) AS recall, count(*) AS region_pixels FROM pix WHERE mask GROUP BY ALL),"
-    " rr AS (SELECT image, count(*) AS small_regions, count(*) FILTER (recall >= 0.1) AS small_hits, sum(recall) AS small_recall FROM r WHERE region_pixels <= 6 GROUP BY image)"
+@query(_GRID + _labels(8) + ", a AS (SELECT image, count(*) FILTER (mask) AS mask_pixels, count(*) FILTER (mask AND support) AS hits, count(*) AS n FROM pix GROUP BY image), rg AS (SELECT image, region_id, avg(support::INT) AS recall, count(*) AS region_pixels FROM pix JOIN lab USING (image, y, x) GROUP BY ALL),"
+    " rr AS (SELECT image, count(*) AS small_regions, count(*) FILTER (recall >= 0.1) AS small_hits, sum(recall) AS small_recall FROM rg WHERE region_pixels <= 6 GROUP BY image)"
     " SELECT image % 4 AS grp, count(*) AS n_images, count(rr.image) AS n_small_images, coalesce(sum(small_regions), 0)::BIGINT AS n_regions, coalesce(sum(small_hits), 0)::BIGINT AS n_hits, round(sum(small_hits)::DOUBLE / nullif(sum(small_regions), 0), 6) AS hit_rate, round(sum(small_recall) / nullif(sum(small_regions), 0), 6) AS mean_recall FROM a LEFT JOIN rr USING (image) GROUP BY 1")
 def capture_aggregate(s, d):
     grid = _grid(s, d)
-    regions = grid.where("mask").groupBy("image", F.floor(F.col("y") / 4).alias("region")).agg(F.avg(F.col("support").cast("double")).alias("recall"), F.count(F.lit(1)).alias("n")).where("n <= 6")
-    small = regions.groupBy("image").agg(F.count(F.lit(1)).alias("small_regions"), F.sum((F.col("recall") >= 0.1).cast("long")).alias("small_hits"), F.sum("recall").alias("small_recall"))
+    regions = grids.region_measurements(grids.labelled_pixels(grid, ["image"], "mask"), ["image"], "region_id", "support", 256).where("region_pixels <= 6")
+    small = regions.groupBy("image").agg(F.count(F.lit(1)).alias("small_regions"), F.sum(F.col("region_hit").cast("long")).alias("small_hits"), F.sum("region_recall").alias("small_recall"))
     rows = grid.select("image").distinct().join(small, "image", "left").groupBy((F.col("image") % 4).alias("grp"))
     out = rows.agg(
         F.count(F.lit(1)).alias("n_images"), F.count("small_regions").alias("n_small_images"), F.coalesce(F.sum("small_regions"), F.lit(0)).alias("n_regions"), F.coalesce(F.sum("small_hits"), F.lit(0)).alias("n_hits"),
@@ -147,9 +147,12 @@ def capture_aggregate(s, d):
     return rounded(out, ["hit_rate", "mean_recall"])
 
 
-@query("WITH f AS (SELECT user_id % 12 AS category, event_type AS family, event_id AS sample_id, value AS stability FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AND event_id % 5 = 0) SELECT category, family, arg_min(sample_id, struct_pack(v := stability, i := sample_id)) AS sample_id, min(stability) AS stability FROM f GROUP BY ALL")
+@query(study.SQL + """
+, f AS (SELECT p.model, p.category, p.condition, p.family, p.sample_id, t.score AS stability, CASE WHEN p.target = 0 AND c.predicted = 0 AND p.predicted = 1 THEN 'new_false_positive' WHEN p.target = 1 AND c.predicted = 1 AND p.predicted = 0 THEN 'new_false_negative' END AS transition
+  FROM predictions p JOIN predictions c ON c.model = p.model AND c.category = p.category AND c.sample_id = p.sample_id AND c.condition = 'clean' JOIN test t ON t.sample_id = p.sample_id WHERE p.severity = 2)
+SELECT model, category, condition, family, transition, arg_min(sample_id, struct_pack(v := stability, i := sample_id)) AS sample_id, min(stability) AS stability FROM f WHERE transition IS NOT NULL GROUP BY ALL""")
 def argmin_failure(s, d):
-    """The sample of least stability among each kind of new failure at severity 2; the SQL takes every fifth event instead."""
+    """The sample of least stability among each kind of new failure at severity 2."""
     failed = _paired(s, d).where("severity = 2 AND transition IN ('new_false_positive', 'new_false_negative')")
     rows = failed.select("model", "category", "condition", "family", "transition", "sample_id").join(study.scored(s, d).select("sample_id", F.col("score").alias("stability")), "sample_id")
     return rows.groupBy("model", "category", "condition", "family", "transition").agg(F.min_by("sample_id", F.struct("stability", "sample_id")).alias("sample_id"), F.min("stability").alias("stability"))

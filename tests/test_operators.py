@@ -84,10 +84,10 @@ def test_perfect_localization(spark):
     df = spark.createDataFrame(rows, "image string, y int, x int, mask boolean, score double").withColumn("label", F.lit("anomaly"))
     m = grids.mask_measurements(df.withColumn("support", F.col("score") > 0.5), "image", "label", "mask", "support").first()
     assert m.foreground_iou == 1 and m.all_image_iou == 1
-    labelled = grids.labelled_pixels(df, "image", "mask")
+    labelled = grids.labelled_pixels(df, ["image"], "mask", 4)
     assert labelled.where("region_id IS NOT NULL").agg(F.countDistinct("region_id")).first()[0] == 1
-    assert grids.aupro(labelled, "image", "region_id", "score").first().aupro == pytest.approx(1.0)
-    assert grids.aupro(labelled.withColumn("score", F.lit(1.0)), "image", "region_id", "score").first().aupro == 0
+    assert grids.aupro(labelled, [], "image", "region_id", "score").first().aupro == pytest.approx(1.0)
+    assert grids.aupro(labelled.withColumn("score", F.lit(1.0)), [], "image", "region_id", "score").first().aupro == 0
 
 
 def test_regions_strata_and_hysteresis(spark):
@@ -95,15 +95,74 @@ def test_regions_strata_and_hysteresis(spark):
     mask[0, 0] = mask[1, 1] = mask[5:7, 5:7] = True
     found = grids.label_regions(mask)
     assert found[0, 0] == found[1, 1] == 1 and found[5, 5] == 2 and found.max() == 2
-    scores = mask * 0.5
-    scores[5, 5] = 1.0
-    kept = grids.hysteresis(scores, 0.4, 0.9, 2, 1)
-    assert kept.sum() == 4 and kept[5, 5] and not kept[0, 0]
+    assert grids.label_regions(mask, 4).max() == 3
+    spiral = np.array([[int(c) for c in row] for row in ("1111111", "0000001", "1111101", "1000101", "1011101", "1000001", "1111111")], bool)
+    assert grids.label_regions(spiral, 4).max() == 1 and (grids.label_regions(spiral) > 0).sum() == spiral.sum()
+    # a row of twelve low pixels with one seed: within one pixel of the seed stand only three
+    rows = [("a", 0, x, 1.0 if x == 5 else 0.5) for x in range(12)] + [("a", 4, x, 0.5) for x in range(12)] + [("b", 0, 0, None)]
+    pixels = spark.createDataFrame(rows, "image string, y int, x int, score double").withColumns({"low": F.lit(0.4), "high": F.lit(0.9)})
+    for least, want in ((3, {(0, 4), (0, 5), (0, 6)}), (4, set())):
+        assert {(r.y, r.x) for r in grids.seeded_regions(pixels, ["image"], "score", "low", "high", least, 1).collect()} == want
+    assert grids.seeded_regions(pixels, ["image"], "score", "low", "high", 12).count() == 12
     df = spark.createDataFrame([("s", f, 1, 1.0) for f in (0.001, 0.01, 0.5)], "sample string, region_fraction double, region_hit int, region_recall double")
     got = {r.stratum: r.n_regions for r in grids.overlapping_strata(grids.strata(df, 0.001, 0.01), [], "sample").collect()}
     assert got == {"tiny": 1, "small": 1, "large": 1, "small_inclusive": 2, "all": 3}
 
 
+def test_aupro_finds_a_pixel_above_the_threshold_only(spark):
+    """Region of scores 10 and 0, background of 9.9 and nine times 0, by hand with 30 thresholds: 0.5 from the first threshold below 10; the area up to 0.3."""
+    rows = [("a", 0, 0, True, 10.0), ("a", 0, 1, True, 0.0), ("a", 2, 0, False, 9.9)] + [("a", 2, x, False, 0.0) for x in range(1, 10)]
+    df = spark.createDataFrame(rows, "image string, y int, x int, mask boolean, score double")
+    got = grids.aupro(grids.labelled_pixels(df, ["image"], "mask", 4).withColumn("g", F.lit("k")), ["g"], "image", "region_id", "score", 30).first()
+    assert got.aupro == pytest.approx((0.1 * 0.25 + 0.2 * 0.5) / 0.3)
+
+
+def test_labels_of_many_images_in_small_batches(spark):
+    rng = np.random.default_rng(3)
+    frames = {f"i{n}": rng.random((9, 7)) < 0.5 for n in range(40)}
+    rows = [(k, y, x, bool(m[y, x])) for k, m in frames.items() for y in range(9) for x in range(7)]
+    df = spark.createDataFrame(rows, "image string, y int, x int, mask boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    got = {(r.image, r.y, r.x): r.region_id for r in grids.labelled_pixels(df, ["image"], "mask").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, m in frames.items():
+        todo, n = {(y, x) for y, x in zip(*np.nonzero(m), strict=True)}, 0
+        for first in sorted(todo):
+            if first not in todo:
+                continue
+            n, reach = n + 1, [first]
+            todo.discard(first)
+            while reach:
+                y, x = reach.pop()
+                assert got[k, y, x] == n
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & todo
+                todo -= near
+                reach.extend(near)
+
+
+def test_tile_weights(spark):
+    """Two tiles of two pixels: weights 0.525 on either axis are equal; of four pixels they differ."""
+    tiles = spark.createDataFrame([("f", 0, 0, 3, 0, 0.0), ("f", 1, 0, 2, 0, 8.0)], "f string, top int, left int, y int, x int, score double")
+    edge, inner = (0.05 + 0.95 * np.sin(np.pi * (y + 0.5) / 4) ** 2 for y in (3, 2))
+    assert grids.tile_blend(tiles, ["f"], 4).first().score == pytest.approx(8 * inner / (edge + inner))
+
+
+def test_map_correlation_and_pixel_metrics(spark):
+    rows = [("same", 1.0, 1.0), ("same", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("up", 1.0, 2.0), ("up", 2.0, 4.0), ("up", None, 9.0)]
+    df = spark.createDataFrame(rows, "image string, a double, b double")
+    assert {r.image: r.correlation for r in grids.map_correlation(df, ["image"], "a", "b").collect()} == {"same": 1.0, "flat": 0.0, "up": pytest.approx(1.0)}
+    rows = [("a", True, 0.9), ("a", False, 0.1), ("b", False, 0.2), ("b", False, 0.1), ("b", True, float("nan"))]
+    df = spark.createDataFrame(rows, "image string, mask boolean, score double").withColumns({"t": F.lit(0.5), "g": F.lit(1)})
+    got = grids.pixel_metrics(df, ["g"], "image", "mask", "score", "t").first()
+    assert (got.n_images, got.pixel_iou_mean, got.pixel_auroc, got.pixel_ap, got.pixel_count) == (2, 1.0, 1.0, 1.0, 4)
+
+
+def test_banded_pairs_of_any_distance(spark):
+    bits = sum(1 << (16 * i) for i in range(4))  # a bit in each 16-bit word
+    df = spark.createDataFrame([("a", 0), ("b", bits), ("c", -1)], "id string, bits long")
+    assert {tuple(r) for r in duplicates.banded_pairs(df, "id", "bits", [], 4).collect()} == {("a", "b", 4)}
+
+
 def test_tiles(spark):
     frames = spark.createDataFrame([(336, 336)], "h int, w int")
     assert {(r.top, r.left) for r in grids.tile_layout(frames, "h", "w", 224, 112).collect()} == {(0, 0), (0, 112), (112, 0), (112, 112)}
