@@ -1,13 +1,27 @@
 """SQL for DuckDB that gives the rows of the queries by brute force, at the scale of the comparison."""
 
-P1_SAMPLE = """
-WITH r AS (SELECT sample_id, arg_min(category, ingested_at) AS category, lower(trim(arg_min(split, ingested_at))) AS split, min(ingested_at) AS arrived FROM manifest WHERE sample_id IS NOT NULL AND category IS NOT NULL AND ingested_at IS NOT NULL GROUP BY sample_id),
+_LEDGER = """
+WITH RECURSIVE r AS (SELECT sample_id, arg_min(category, ingested_at) AS category, lower(trim(arg_min(split, ingested_at))) AS split, min(ingested_at) AS arrived FROM manifest WHERE sample_id IS NOT NULL AND category IS NOT NULL AND ingested_at IS NOT NULL GROUP BY sample_id),
 a AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY arrived, sha256(sample_id), sample_id) AS arrival FROM r WHERE split = 'train'),
-s AS (SELECT name AS experiment, seed, quick_train AS q, unnest(range(1, quick_train + 1)) AS slot FROM experiment_settings WHERE quick_train > 0),
-w AS (SELECT *, 1 + floor(6 * (slot - 1)::DOUBLE / q)::BIGINT AS width FROM s),
-u AS (SELECT *, sum(width) OVER (PARTITION BY experiment ORDER BY slot ROWS UNBOUNDED PRECEDING) AS upto FROM w),
-c AS (SELECT experiment, category, slot, upto, arrival, sample_id, sha256(seed || ':' || category || ':' || sample_id) AS h FROM u JOIN a ON arrival > upto - width AND arrival <= upto)
-SELECT experiment, category, arg_min(sample_id, struct_pack(h := h, i := sample_id)) AS sample_id FROM c GROUP BY experiment, category, slot HAVING max(arrival) = max(upto)
+n AS (SELECT category, max(arrival) AS n FROM a GROUP BY category),
+q AS (SELECT name AS experiment, seed, quick_train AS q, greatest(1, round(quick_train * 0.05))::BIGINT AS g FROM experiment_settings WHERE quick_train > 0),
+base AS (SELECT experiment, seed, q, g, slot, sum(1 + floor(6 * (slot - 1)::DOUBLE / q)::BIGINT) OVER (PARTITION BY experiment ORDER BY slot) AS opens FROM (SELECT *, unnest(range(1, q + 1)) AS slot FROM q)),
+more AS (SELECT experiment, seed, q + g * (e - 1) + j AS slot, big * (1 << e)::BIGINT AS opens FROM (SELECT experiment, any_value(seed) AS seed, any_value(q) AS q, any_value(g) AS g, max(opens) AS big FROM base GROUP BY experiment) CROSS JOIN range(1, 20) t(e) CROSS JOIN LATERAL (SELECT unnest(range(1, g + 1)) AS j)),
+sl AS (SELECT experiment, seed, slot, opens FROM base UNION ALL SELECT experiment, seed, slot, opens FROM more),
+h AS (SELECT experiment, category, arrival, sample_id, sha256(seed || ':' || category || ':' || sample_id) AS h FROM a CROSS JOIN q),
+f(experiment, category, slot, taken) AS (SELECT experiment, category, 0::BIGINT, []::VARCHAR[] FROM q CROSS JOIN n
+  UNION ALL SELECT f.experiment, f.category, f.slot + 1, list_append(f.taken, arg_min(h.sample_id, struct_pack(h := h.h, i := h.sample_id)))
+  FROM f JOIN sl ON sl.experiment = f.experiment AND sl.slot = f.slot + 1 JOIN n ON n.category = f.category AND n.n >= sl.opens JOIN h ON h.experiment = f.experiment AND h.category = f.category AND h.arrival <= sl.opens
+  WHERE NOT list_contains(f.taken, h.sample_id) GROUP BY f.experiment, f.category, f.slot, f.taken),
+drawn AS (SELECT experiment, category, slot, taken[-1] AS sample_id FROM f WHERE slot > 0)
+"""
+
+P1_SAMPLE = _LEDGER + "SELECT experiment, category, sample_id FROM drawn"
+
+P1_LEDGER_GROWTH = _LEDGER + """
+, span AS (SELECT epoch_us(min(ingested_at)) AS lo, epoch_us(max(ingested_at)) AS hi FROM manifest),
+upto AS (SELECT category, d, count(*) FILTER (epoch_us(arrived) <= m) AS n FROM a CROSS JOIN (SELECT unnest([0, 1, 2]) AS d, unnest([lo + (hi - lo) // 10, lo + (hi - lo) // 2, hi]) AS m FROM span) GROUP BY category, d)
+SELECT experiment, x.category, sample_id, min(d)::INTEGER AS drawn_by FROM drawn x JOIN sl USING (experiment, slot) JOIN upto u ON u.category = x.category AND u.n >= sl.opens GROUP BY ALL
 """
 
 P2_FOUND = """
@@ -67,6 +81,7 @@ FROM s CROSS JOIN c
 ORACLES = {
     "p8_statistics": P8_STATISTICS,
     "p1_sample": P1_SAMPLE,
+    "p1_ledger_growth": P1_LEDGER_GROWTH,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
     "p5_found": P5_FOUND,

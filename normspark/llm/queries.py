@@ -20,7 +20,7 @@ def p1_ledger_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger after three draws, with the draw that first held each record."""
     records = table(spark, sf_dir, "manifest")
     span = records.agg(F.min("ingested_at").alias("a"), F.max("ingested_at").alias("b")).first()
-    at = [] if span.a is None else [span.a + (span.b - span.a) * f for f in (0.1, 0.5)]
+    at = [] if span.a is None else [span.a + (span.b - span.a) // f for f in (10, 2)]
     return stable_sample.ledger_growth(records, table(spark, sf_dir, "experiment_settings"), at).select("experiment", "category", "sample_id", "drawn_by")
 
 

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, against brute force on small tables."""
 
+import hashlib
 import math
 import random
 from datetime import datetime, timedelta
@@ -39,7 +40,8 @@ def test_sample_is_the_same_in_any_order_and_stays(spark):
     counts = {}
     for e, c, *_ in base:
         counts[e, c] = counts.get((e, c), 0) + 1
-    assert counts == {(e, c): 12 for e in ("e1", "e2") for c in ("c0", "c1")}
+    # 12 slots of the quota, the last at 42 arrivals, and one more at 84 and at 168
+    assert counts == {(e, c): n for e in ("e1", "e2") for c, n in (("c0", 14), ("c1", 13))}
     assert {r[3] for r in base if r[0] == "e1"} != {r[3] for r in base if r[0] == "e2"}
     earlier = set()
     for cut in (7, 20, 33, 61, 120, 299):
@@ -48,16 +50,32 @@ def test_sample_is_the_same_in_any_order_and_stays(spark):
         earlier = part
 
 
-def test_ledger_is_kept_and_extended(spark):
+def test_ledger_is_kept_and_extended(spark, tmp_path):
     settings = spark.createDataFrame([("e", 1, 10, None)], SETTINGS)
     whole = manifest(spark, 200)
     half = stable_sample.draw(whole.where("ingested_at < timestamp_ntz'2025-01-01 00:12:00'"), settings)
     kept = found(half)
     assert found(stable_sample.draw(whole, settings, half)) == found(stable_sample.draw(whole, settings)) >= kept
+    folder = str(tmp_path / "ledger")
+    assert found(stable_sample.publish(half, folder)) == kept == found(stable_sample.read(spark, folder))
+    assert found(stable_sample.draw(whole, settings, stable_sample.read(spark, folder))) == found(stable_sample.draw(whole, settings))
     foreign = spark.createDataFrame([("e", "c0", 10, "gone", datetime(2024, 1, 1))], half.schema)
     assert ("gone",) in found(stable_sample.draw(whole, settings, foreign).select("sample_id"))
 
 
+def test_late_records_can_be_drawn(spark):
+    """Every slot against a plain replay: the lowest hash among all unseen arrivals at the moment it opens."""
+    settings = spark.createDataFrame([("e", 5, 4, None)], SETTINGS)
+    whole = spark.createDataFrame([(f"s{i:05}", "c", "train", datetime(2025, 1, 1) + timedelta(minutes=i), "x", 1) for i in range(2000)], MANIFEST)
+    opens = [1, 3, 7, 12] + [12 * 2**e for e in range(1, 8)]
+    ids, want = [f"s{i:05}" for i in range(2000)], []
+    for moment in opens:
+        want.append(min((i for i in ids[:moment] if i not in want), key=lambda i: hashlib.sha256(f"5:c:{i}".encode()).hexdigest()))
+    got = {r.slot: r.sample_id for r in stable_sample.draw(whole, settings).collect()}
+    assert [got[k + 1] for k in range(len(opens))] == want and len(got) == len(opens)
+    assert max(got.values()) > "s00100"
+
+
 def test_sample_of_nulls_and_nothing(spark):
     settings = spark.createDataFrame([("e", None, 3, None)], SETTINGS)
     rows = [(None, "c", "train", datetime(2025, 1, 1), "", 0), ("a", None, "train", datetime(2025, 1, 1), "", 0), ("b", "c", None, datetime(2025, 1, 1), "", 0), ("d", "c", "train", None, "", 0)]
