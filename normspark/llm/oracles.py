@@ -37,6 +37,10 @@ pairs AS (SELECT a, b FROM near WHERE list_sum(list_transform(list_zip(ta, tb),
 SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM pairs
 """
 
+P2_REPORT = P2_FOUND.replace("SELECT DISTINCT least(a, b) AS sample_id_a, greatest(a, b) AS sample_id_b FROM pairs", """
+, files AS (SELECT DISTINCT a.sample_id AS a, b.sample_id AS b FROM k a JOIN k b ON a.sha = b.sha WHERE a.split = 'train' AND b.split <> 'train')
+SELECT k.split, k.dv AS dataset_version, k.category, count(*) AS n_pairs, count(DISTINCT p.b) AS n_eval_records, count(f.a) AS n_same_file FROM (SELECT DISTINCT a, b FROM pairs) p JOIN k ON k.sample_id = p.b LEFT JOIN files f ON f.a = p.a AND f.b = p.b GROUP BY ALL""")
+
 _NEAR = """
 WITH v AS (SELECT DISTINCT patch_id, vec FROM patches JOIN memory_stats USING (category) WHERE len(vec) = projected_dimension AND list_bool_and(list_transform(vec, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(vec, lambda x: x <> 0))),
 n AS (SELECT q.patch_id AS query_id, v.patch_id AS id, list_cosine_similarity(q.vec::DOUBLE[], v.vec::DOUBLE[]) AS cosine FROM v q JOIN v ON q.patch_id <> v.patch_id WHERE {asked}),
@@ -83,6 +87,7 @@ ORACLES = {
     "p1_sample": P1_SAMPLE,
     "p1_ledger_growth": P1_LEDGER_GROWTH,
     "p2_found": P2_FOUND,
+    "p2_report": P2_REPORT,
     "p3_found": P3_FOUND,
     "p5_found": P5_FOUND,
     "p5_cutoffs": P5_CUTOFFS,

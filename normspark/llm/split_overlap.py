@@ -8,7 +8,8 @@ of an evaluation image that a partner can lie in are known. Evaluation images ar
 these grams (at most four cells a word), training images under their own, and the hits are one
 equi-join partitioned by gram. Each hit gets its containment, the share of the evaluation image's
 words that the training image has; only the first common word emits it. What is left is compared by
-hash distance, further signed sums and finally the whole thumbnails.
+hash distance, further signed sums and finally the whole thumbnails. A gram that more than ``HOT`` training classes share (frames that are
+nearly uniform) is split: its training classes by a hash, with a copy of its evaluation classes for each part.
 
 Copies (same hash and same lowered thumbnail) are one class, so a group of copies costs one
 comparison; pairs are written out only in the result. The same file is found by an equi-join on the
@@ -37,6 +38,8 @@ SIDE = 32
 THUMB = SIDE * SIDE
 #: Words of a hash, at least; more where the allowed distance needs it.
 LEAST_WORDS = 4
+#: Training classes of a gram in one part of the join.
+HOT = 20_000
 #: Images of candidate classes whose thumbnails are fetched by a broadcast of their paths; beyond, by a shuffled join.
 BROADCAST_PATHS = 200_000
 
@@ -141,9 +144,9 @@ CLASS = ["side", "dataset_version", "category", "bits", "digest"]
 
 
 def candidate_classes(members: DataFrame) -> DataFrame:
-    """Pairs of class representatives that pass the grams, the hash distance and the signed sums."""
+    """Pairs of classes (of one dataset_version and category) that pass the grams, the hash distance and the signed sums, with a path of each."""
     reps = members.groupBy(*CLASS).agg(
-        F.min(F.struct("sample_id", "image_path")).alias("rep"),
+        F.min("image_path").alias("path"),
         *(F.first(c).alias(c) for c in ("d", "mae", "words", "budget", "s0", "s1", "s2", "s3", "s4")),
     )
     reps = reps.withColumn("w", F.expr(_words())).withColumn("width", 2 * F.col("budget") + 1)
@@ -151,14 +154,20 @@ def candidate_classes(members: DataFrame) -> DataFrame:
     train = (
         reps.where("side = 'train'")
         .withColumns({"c0": F.expr("floor(s0 / width)"), "c1": F.expr("floor(s1 / width)")})
-        .select("dataset_version", "category", F.posexplode("w").alias("place", "word"), "c0", "c1", "rep", "bits", *(f"s{i}" for i in range(5)))
+        .select("dataset_version", "category", F.posexplode("w").alias("place", "word"), "c0", "c1", "path", "bits", "digest", *(f"s{i}" for i in range(5)))
     )
     held = (
         reps.where("side = 'eval'")
         .withColumn("c0", F.explode(F.expr("sequence(floor((s0 - budget) / width), floor((s0 + budget) / width))")))
         .withColumn("c1", F.explode(F.expr("sequence(floor((s1 - budget) / width), floor((s1 + budget) / width))")))
-        .select("dataset_version", "category", F.posexplode("w").alias("place", "word"), "c0", "c1", F.col("rep").alias("e_rep"), F.col("bits").alias("e_bits"), F.col("w").alias("e_words"), "words", "d", "mae", "budget", *(F.col(f"s{i}").alias(f"e{i}") for i in range(5)))
+        .select("dataset_version", "category", F.posexplode("w").alias("place", "word"), "c0", "c1", F.col("path").alias("e_path"), F.col("bits").alias("e_bits"), F.col("digest").alias("e_digest"), F.col("w").alias("e_words"), "words", "d", "mae", "budget", *(F.col(f"s{i}").alias(f"e{i}") for i in range(5)))
     )
+    parts = cut(train.groupBy(*gram).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select(*gram, F.ceil(F.col("_n") / HOT).cast("int").alias("_parts")))
+    if not parts.isEmpty():
+        parts = broadcast_if_small(parts)
+        train = train.join(parts, gram, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("digest", "bits"), F.col("_parts")), F.lit(0))).drop("_parts")
+        held = held.join(parts, gram, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).withColumn("_part", F.col("_part").cast("long")).drop("_parts")
+        gram = [*gram, "_part"]
     hits = train.join(held, gram)
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("e_bits"))) <= F.col("d")
     for i in range(5):
@@ -168,16 +177,7 @@ def candidate_classes(members: DataFrame) -> DataFrame:
         hits.where(near)
         .withColumn("_shared", F.array_compact(shared))
         .where(F.element_at("_shared", 1) == F.col("place"))
-        .select(
-            "dataset_version",
-            "category",
-            "bits",
-            "e_bits",
-            "rep",
-            "e_rep",
-            "mae",
-            (F.size("_shared") / F.col("words")).alias("containment"),
-        )
+        .select("dataset_version", "category", "bits", "digest", "path", "e_bits", "e_digest", "e_path", "mae", (F.size("_shared") / F.col("words")).alias("containment"))
     )
 
 
@@ -189,39 +189,49 @@ def _lowered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grey - np.trunc(grey.mean(1, dtype=np.float64)).astype(np.int32)[:, None], whole
 
 
+def _digest(row: np.ndarray) -> bytes:
+    return hashlib.blake2b(row.tobytes(), digest_size=16).digest()
+
+
+PAIR = ["dataset_version", "category", "bits", "digest", "e_bits", "e_digest", "containment"]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose thumbnails are near; of an image with several thumbnails, the one that makes it a member of the class."""
     for batch in batches:
         if batch.num_rows:
             (a, a_whole), (b, b_whole) = _lowered(batch.column("t")), _lowered(batch.column("e_t"))
-            near = np.abs(a - b).sum(1) / THUMB <= np.asarray(batch.column("mae"))
-            yield batch.select(["rep", "e_rep", "containment", "bits", "e_bits"]).filter(pa.array(near & a_whole & b_whole))
+            near = (np.abs(a - b).sum(1) / THUMB <= np.asarray(batch.column("mae"))) & a_whole & b_whole
+            for i in np.flatnonzero(near):
+                near[i] = _digest(a[i]) == batch.column("digest")[i].as_py() and _digest(b[i]) == batch.column("e_digest")[i].as_py()
+            yield batch.select(PAIR).filter(pa.array(near))
 
 
 def near_same(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(train_id, eval_id, containment) of near-same records, copies written out."""
     pairs = cut(candidate_classes(members))
     thumbs = groups.where(f"thumbnail IS NOT NULL AND size(thumbnail) = {THUMB}").select("image_path", "thumbnail")
-    paths = pairs.select(F.explode(F.array("rep.image_path", "e_rep.image_path")).alias("image_path")).distinct()
+    paths = pairs.select(F.explode(F.array("path", "e_path")).alias("image_path")).distinct()
     paths = F.broadcast(paths) if paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS else paths
     wanted = thumbs.join(paths, "image_path", "left_semi")
     kept = (
-        pairs.join(wanted.select(F.col("image_path").alias("_p"), F.col("thumbnail").alias("t")), F.col("rep.image_path") == F.col("_p"))
-        .join(wanted.select(F.col("image_path").alias("_q"), F.col("thumbnail").alias("e_t")), F.col("e_rep.image_path") == F.col("_q"))
-        .select(F.col("rep.sample_id").alias("rep"), F.col("e_rep.sample_id").alias("e_rep"), "containment", "bits", "e_bits", "mae", "t", "e_t")
-        .mapInArrow(_verify, "rep string, e_rep string, containment double, bits long, e_bits long")
+        pairs.join(wanted.select(F.col("image_path").alias("path"), F.col("thumbnail").alias("t")), "path")
+        .join(wanted.select(F.col("image_path").alias("e_path"), F.col("thumbnail").alias("e_t")), "e_path")
+        .select(*PAIR, "mae", "t", "e_t")
+        .mapInArrow(_verify, "dataset_version string, category string, bits long, digest binary, e_bits long, e_digest binary, containment double")
         .distinct()
     )
     # membership: the members of a class, not its list, go through the joins
-    reps = members.groupBy(*CLASS).agg(F.min("sample_id").alias("rep")).join(members.select(*CLASS, "sample_id"), CLASS)
-    train = reps.where("side = 'train'").select("rep", "bits", F.col("sample_id").alias("train_id"))
-    held = reps.where("side = 'eval'").select(F.col("rep").alias("e_rep"), F.col("bits").alias("e_bits"), F.col("sample_id").alias("eval_id"))
-    return kept.join(train, ["rep", "bits"]).join(held, ["e_rep", "e_bits"]).select("train_id", "eval_id", "containment").distinct()
+    within = ["dataset_version", "category"]
+    train = members.where("side = 'train'").select(*within, "bits", "digest", F.col("sample_id").alias("train_id"))
+    held = members.where("side = 'eval'").select(*within, F.col("bits").alias("e_bits"), F.col("digest").alias("e_digest"), F.col("sample_id").alias("eval_id"))
+    return kept.join(train, [*within, "bits", "digest"]).join(held, [*within, "e_bits", "e_digest"]).select("train_id", "eval_id", "containment").distinct()
 
 
 def overlaps(manifest: DataFrame, groups: DataFrame, limits: DataFrame) -> DataFrame:
     """All cross-split overlaps: ``train_id, eval_id, same_file, containment`` (null for a same file only)."""
     require(groups, ["image_path", "thumbnail"])
-    records = split_records(manifest)
+    records = cut(split_records(manifest))
     files = same_file(records).select("train_id", "eval_id", F.lit(True).alias("same_file"), F.lit(None).cast("double").alias("containment"))
     near = near_same(cut(classes(records, groups, limits)), groups).select("train_id", "eval_id", F.lit(False).alias("same_file"), "containment")
     return files.unionByName(near).groupBy("train_id", "eval_id").agg(F.max("same_file").alias("same_file"), F.max("containment").alias("containment"))

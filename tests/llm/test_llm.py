@@ -121,6 +121,19 @@ def test_overlaps_against_brute_force(spark):
     assert split_overlap.overlaps(m.limit(0), g.limit(0), limits.limit(0)).count() == 0
 
 
+def test_overlaps_of_an_image_with_several_thumbnails(spark, monkeypatch):
+    """Only the thumbnail of the hit counts: a2 looks like the other thumbnail of a1, not like e1."""
+    flat, other = [100] * 1024, [0] * 512 + [255] * 512
+    at = datetime(2025, 1, 1)
+    rows = [(i, "v", "k", split, f"{i}.png", None, "0", at) for i, split in (("a1", "train"), ("a2", "train"), ("e1", "test"))]
+    m = spark.createDataFrame(rows, "sample_id string, dataset_version string, category string, split string, image_path string, image_sha256 string, perceptual_hash string, ingested_at timestamp")
+    g = spark.createDataFrame([("a1.png", flat), ("a1.png", other), ("a2.png", other), ("e1.png", flat), ("e1.png", flat)], "image_path string, thumbnail array<int>")
+    limits = spark.createDataFrame([("v", 2, 0.5)], "dataset_version string, perceptual_max_dhash_distance int, perceptual_max_normalized_mae double")
+    for hot in (split_overlap.HOT, 1):  # with grams that are split, too
+        monkeypatch.setattr(split_overlap, "HOT", hot)
+        assert found(split_overlap.overlaps(m, g, limits).select("train_id", "eval_id")) == {("a1", "e1")}
+
+
 # 3: neighbours
 
 
