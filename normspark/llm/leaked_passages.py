@@ -2,21 +2,19 @@
 
 Documents and items are brought to the same words (NFC, no soft hyphens or zero-width characters, lower
 case, runs of letters and digits) joined by single blanks. The passages looked for are an item's windows
-of ``WORDS`` consecutive words, or all its words if it has fewer. A text region within ``EDITS`` edits of
-a window of ``L`` characters shares at least ``L + 1 - Q - Q * EDITS`` of the window's character
+of ``WORDS`` consecutive words, or all its words if it has fewer. A text region within ``edits`` edits of
+a window of ``L`` characters shares at least ``L + 1 - Q - Q * edits`` of the window's character
 ``Q``-grams, all in one band of diagonals (place in the document less place in the item). So
 
-1. among any ``Q * EDITS + 1`` grams of a window, a document with the passage has at least one; the
-   rarest of each window among the items are its signature, and only documents with a signature gram of
-   an item are looked at for that item;
+1. of a window cut into ``edits + 1`` pieces, one stands in the region unchanged; the rarest gram of each piece (among the
+   items) is its signature, and only documents with a signature gram of an item are looked at for that item;
 2. for such a pair the shared grams are counted in overlapping bands of diagonals, and the windows
    whose count in a band meets the bound are kept;
 3. those are verified by an alignment within the band.
 
-A window too short for the bound gets fewer edits, down to none; one shorter than ``Q`` is looked for
-as it is. The corpus is only read, in one pass and without a shuffle; what travels are the items,
-whose number is checked: up to ``BLOCK_ITEMS`` items are one block that is sent to the executors, more
-items are several blocks and passes.
+Steps 1 and 2 are done for all documents of a batch at once, on arrays. A window too short for the edits gets fewer, down to none; one shorter than ``Q`` is looked for
+as it is. The corpus is only read, in one pass and without a shuffle; what travels are the items'
+grams, in blocks of at most ``BLOCK_CHARACTERS`` of their texts (about 200 MB an executor process); more text is several blocks and passes.
 
 Defined results: null, empty and wordless texts hold and reveal nothing. An item id whose text is
 given several times is revealed by any of them; a document id likewise. Null ids are left out. Whole
@@ -37,13 +35,13 @@ from pyspark.sql import functions as F
 
 from normspark.session import require, spread
 
-#: Words of a passage, characters of a gram, and edits that a passage may differ by.
-WORDS, Q, EDITS = 12, 8, 1
-#: Items sent to the executors at once.
-BLOCK_ITEMS = 4_096
-#: Characters of documents whose grams are hashed at once.
-PIECE = 1 << 19
-#: Bits of the filter that tells most grams of the corpus from signature grams.
+#: Words of a passage, characters of a gram, and edits that a passage may differ by if nothing else is asked for.
+WORDS, Q, EDITS = 12, 16, 1
+#: Characters of items sent to the executors at once.
+BLOCK_CHARACTERS = 8_000_000
+#: Characters of documents that are searched at once; longer documents are cut into overlapping pieces.
+PIECE = 1 << 17
+#: Bits of the filters that tell most grams of the corpus from those of items.
 FILTER_BITS = 22
 
 # Fixed value: characters that are taken out of a text.
@@ -55,19 +53,24 @@ _REMOVE = regex.compile(f"[{REMOVED}]")
 
 def words_of(text: str) -> list[str]:
     """The words of a text in the notation that is compared."""
+    if text.isascii():
+        return text.lower().translate(_ASCII).split()
     return _WORD.findall(_REMOVE.sub("", unicodedata.normalize("NFC", text)).lower())
 
 
+#: ASCII characters that are no letters or digits, to blanks.
+_ASCII = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
 def gram_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each gram of ``Q`` characters, by place."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - Q + 1
-    if n <= 0:
+    """A 64-bit hash of each gram of ``Q`` (a power of two) characters, by place, from those of half the length."""
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(h) < Q:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(Q):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += codes[i : i + n]
+    size, power = 1, 0x9E3779B97F4A7C15
+    while size < Q:
+        h = h[:-size] * np.uint64(power) + h[size:]
+        size, power = 2 * size, power * power % (1 << 64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -76,31 +79,29 @@ def gram_hashes(text: str) -> np.ndarray:
 class Item:
     """An item's text, its windows as (start, end, least shared grams, edits), and its grams by place."""
 
-    def __init__(self, item_id: int, words: list[str]) -> None:
+    def __init__(self, item_id: int, words: list[str], edits: int) -> None:
         self.id, self.text = item_id, " ".join(words)
         starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
         size = min(WORDS, len(words))
         self.windows: list[tuple[int, int, int, int]] = []
         for i in range(len(words) - size + 1):
             a, b = starts[i], starts[i + size] - 1
-            edits = EDITS
-            while edits and b - a + 1 - Q - Q * edits < 1:
-                edits -= 1
-            self.windows.append((a, b, b - a + 1 - Q - Q * edits, edits))
+            own = max(0, min(edits, (b - a) // Q - 1))
+            while own and b - a + 1 - Q - Q * own < 1:
+                own -= 1
+            self.windows.append((a, b, b - a + 1 - Q - Q * own, own))
         self.begin, self.end, self.least, self.edits = np.array(self.windows, np.int64).T
         self.hashes = gram_hashes(self.text)
 
-    def short(self) -> bool:
-        """Whether its windows have no gram."""
-        return len(self.text) < Q
-
-    def signature(self, often: Counter) -> set[int]:
-        """For each window its ``Q * edits + 1`` rarest grams."""
+    def signature(self, often: dict[int, int]) -> set[int]:
+        """The rarest gram of each of the ``edits + 1`` pieces of each window."""
         rarity = np.array([often[h] for h in self.hashes.tolist()])
         chosen: set[int] = set()
         for a, b, _, edits in self.windows:
-            own = np.arange(a, b - Q + 1)
-            chosen.update(self.hashes[own[np.argsort(rarity[own], kind="stable")[: Q * edits + 1]]].tolist())
+            for i in range(edits + 1):
+                low, high = a + (b - a) * i // (edits + 1), a + (b - a) * (i + 1) // (edits + 1) - Q
+                if high >= low:
+                    chosen.add(int(self.hashes[low + int(np.argmin(rarity[low : high + 1]))]))
         return chosen
 
 
@@ -135,71 +136,113 @@ def aligned(window: str, region: str, edits: int) -> int | None:
     return best if best <= edits else None
 
 
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, where the entries of each begin, and the order of the entries."""
+    order = np.argsort(hashes, kind="stable")
+    own, first = np.unique(hashes[order], return_index=True)
+    return own, np.append(first, len(hashes)), order
+
+
+def _filter(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    return out
+
+
 class Index:
-    """The grams of a block of items in the order of their hashes: item, place, and whether a signature has it."""
+    """The grams of a block of items: all with their items and places, and the signature grams with their items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        parsed = [Item(i, w) for i, t in items if (w := words_of(t or ""))]
-        self.shorts = [x for x in parsed if x.short()]
-        self.items = [x for x in parsed if not x.short()]
+    def __init__(self, items: list[tuple[int, str]], edits: int = EDITS) -> None:
+        self.most = edits
+        parsed = [Item(i, w, edits) for i, t in items if (w := words_of(t or ""))]
+        self.shorts = [x for x in parsed if any(e - a < Q for a, e, _, _ in x.windows)]  # some window has no gram
+        self.items = [x for x in parsed if len(x.text) >= Q]
         often: Counter = Counter()
         for x in self.items:
             often.update(set(x.hashes.tolist()))
-        none = [np.empty(0, np.int64)]
+        nothing = [np.empty(0, np.int64)]
         hashes = np.concatenate([x.hashes for x in self.items] or [np.empty(0, np.uint64)])
-        owners = np.concatenate([np.full(len(x.hashes), n) for n, x in enumerate(self.items)] or none)
-        places = np.concatenate([np.arange(len(x.hashes)) for x in self.items] or none)
-        signed = np.concatenate([np.isin(x.hashes, np.array(list(x.signature(often)), np.uint64)) for x in self.items] or [np.empty(0, bool)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners, self.places, self.signed = hashes[order], owners[order], places[order], signed[order]
-        self.least = np.array([min(w[2] for w in x.windows) for x in self.items], np.int64)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def leaks(self, text: str) -> Iterator[tuple[Item, int, int, int]]:
-        """(item, edits, window's start, window's end) of each item with a verified window, its best one."""
-        padded = f" {text} "
-        for x in self.shorts:
-            if f" {x.text} " in padded:
-                yield x, 0, 0, len(x.text)
-        if len(text) < Q or not self.items:
+        owners = np.concatenate([np.full(len(x.hashes), n) for n, x in enumerate(self.items)] or nothing)
+        places = np.concatenate([np.arange(len(x.hashes)) for x in self.items] or nothing)
+        self.grams, self.first, order = _grouped(hashes)
+        self.owners, self.places = owners[order], places[order]
+        signed = [np.array(sorted(x.signature(often)), np.uint64) for x in self.items]
+        self.signs, self.sign_first, order = _grouped(np.concatenate(signed or [np.empty(0, np.uint64)]))
+        self.sign_owners = np.concatenate([np.full(len(x), n) for n, x in enumerate(signed)] or nothing)[order]
+        self.least = np.array([min(w[2] for w in x.windows if w[2] > 0) if any(w[2] > 0 for w in x.windows) else 1 for x in self.items], np.int64)
+        self.filter, self.sign_filter = _filter(self.grams), _filter(self.signs)
+        self.longest = max((int((x.end - x.begin).max()) for x in parsed), default=0) + 2 * (Q + edits)
+
+    @staticmethod
+    def _hits(hashes: np.ndarray, at: np.ndarray, known: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each place ``at`` with each entry of its gram."""
+        found = np.searchsorted(known, hashes[at])
+        same = known[np.minimum(found, len(known) - 1)] == hashes[at]
+        at, found = at[same], found[same]
+        times = first[found + 1] - first[found]
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[found], times)
+        return np.repeat(at, times), entry
+
+    def leaks(self, texts: list[str]) -> Iterator[tuple[int, Item, int, int, int]]:
+        """(text's number, item, edits, window's start, window's end) of each item with a verified window in a text, its best one."""
+        for n, text in enumerate(texts):
+            for x in self.shorts:
+                padded = f" {text} "
+                for a, e, _, _ in x.windows:
+                    if e - a < Q and f" {x.text[a:e]} " in padded:
+                        yield n, x, 0, a, e
+                        break
+        if not self.items:
             return
-        hashes = gram_hashes(text)
-        at = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
-        times = high - low
-        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        item, own, place = self.owners[entry], self.places[entry], np.repeat(at, times)
-        candidate = np.zeros(len(self.items), bool)
-        candidate[item[self.signed[entry]]] = True
-        keep = candidate[item]
-        item, own, diagonal = item[keep], own[keep], place[keep] - own[keep]
-        if not len(item):
+        joined = "\n".join(texts)  # no gram of an item has a line end
+        hashes = gram_hashes(joined)
+        high = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        m = len(self.items)
+        at, entry = self._hits(hashes, np.flatnonzero(self.sign_filter[high]), self.signs, self.sign_first)
+        candidate = np.zeros((len(texts), m), bool)
+        candidate[np.searchsorted(begins, at, "right") - 1, self.sign_owners[entry]] = True
+        if not candidate.any():
             return
+        # grams of texts without a candidate needn't be looked up
+        open_text = np.repeat(candidate.any(1), np.diff(begins))[: len(hashes)]
+        at, entry = self._hits(hashes, np.flatnonzero(self.filter[high] & open_text), self.grams, self.first)
+        item, own, text = self.owners[entry], self.places[entry], np.searchsorted(begins, at, "right") - 1
+        keep = candidate[text, item]
+        pair, own, diagonal = (text * m + item)[keep], own[keep], (at - begins[text] - own)[keep]
         # bands of twice the edits (at least two diagonals), each overlapping the next by the edits
-        band = diagonal // max(1, EDITS)
+        band = diagonal // max(1, self.most)
+        if not len(band):
+            return
         base = int(band.min()) - 1
-        span = int(band.max()) - base + 1
-        keys, counts = np.unique(np.concatenate([item * span + band - base, item * span + band - 1 - base]), return_counts=True)
-        keys = keys[counts >= self.least[keys // span]]
+        span = int(band.max()) - base + 2
+        low = pair * span + band - base
+        keys, counts = np.unique(np.concatenate([low, low - 1]), return_counts=True)
+        keys = keys[counts >= self.least[keys // span % m]]
+        if not len(keys):
+            return
+        # the hits of the bands that are left, in the order of the bands
+        order = np.argsort(low, kind="stable")
+        low, own, diagonal = low[order], own[order], diagonal[order]
+        starts, stops = np.searchsorted(low, keys, "left"), np.searchsorted(low, keys + 1, "right")
         best: dict[int, tuple[int, int, int]] = {}
-        for key in keys.tolist():
-            n, b = key // span, key % span + base
-            inside = (item == n) & ((band == b) | (band == b + 1))
-            found = self._verified(self.items[n], text, own[inside], diagonal[inside])
+        for key, i, j in zip(keys.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            n = key // span
+            found = self._verified(self.items[n % m], texts[n // m], own[i:j], diagonal[i:j], self.most)
             if found and (n not in best or found < best[n]):
                 best[n] = found
         for n, found in best.items():
-            yield self.items[n], *found
+            yield n // m, self.items[n % m], *found
 
     @staticmethod
-    def _verified(x: Item, text: str, own: np.ndarray, diagonal: np.ndarray) -> tuple[int, int, int] | None:
+    def _verified(x: Item, text: str, own: np.ndarray, diagonal: np.ndarray, most: int) -> tuple[int, int, int] | None:
         """The best aligned window among those whose shared grams in the band meet their bound."""
         have = np.zeros(len(x.hashes) + 1, np.int64)
         have[own + 1] = 1
         have = np.cumsum(have)
-        shared = have[x.end - Q + 1] - have[x.begin]
-        fit = np.flatnonzero(shared >= x.least)
+        ends = np.maximum(x.begin, x.end - Q + 1)
+        shared = have[ends] - have[x.begin]
+        fit = np.flatnonzero((shared >= x.least) & (x.end - x.begin >= Q))
         if not len(fit):
             return None
         base, top = int(diagonal.min()), int(diagonal.max())
@@ -220,24 +263,48 @@ def holds(item: Item, text: str) -> bool:
     return any(f" {item.text[a:b]} " in padded for a, b, _, _ in item.windows)
 
 
-def _scan(items, exact: bool):
+def _scan(kept, exact: bool):
     """For mapInArrow: documents with a verified window of an item of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items.value)
+        index: Index = kept.value
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        docs: list[int] = []
+        texts: list[str] = []
+        size = 0
+
+        def search() -> None:
+            for n, x, edits, a, b in index.leaks(texts):
+                if not exact or holds(x, texts[n]):
+                    key = (docs[n], x.id)
+                    found[key] = min(found.get(key, (edits, a - b)), (edits, a - b))
+            docs.clear()
+            texts.clear()
+
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = " ".join(words_of(raw))
-                found: dict[int, tuple[int, int]] = {}
-                longest = max((len(x.text) for x in index.items), default=0) + 2 * Q
-                # pieces overlap by more than a passage, so that each passage is whole in one
-                for start in range(0, max(1, len(text)), PIECE):
-                    for x, edits, a, b in index.leaks(text[start : start + PIECE + longest]):
-                        if not exact or holds(x, text):
-                            found[x.id] = min(found.get(x.id, (edits, a - b)), (edits, a - b))
-                out.extend((doc, i, e, -n) for i, (e, n) in found.items())
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+                # pieces overlap by more than a passage and begin and end at words, so that each passage is whole in one
+                start = 0
+                while True:
+                    stop = min(len(text), start + PIECE + index.longest)
+                    if stop < len(text):
+                        stop = text.rfind(" ", start, stop) if text.rfind(" ", start, stop) > start + index.longest else stop
+                    docs.append(doc)
+                    texts.append(text[start:stop])
+                    size += stop - start
+                    if size >= PIECE:
+                        search()
+                        size = 0
+                    if stop >= len(text):
+                        break
+                    back = text.rfind(" ", start, stop - index.longest)
+                    start = back + 1 if back > start else stop - index.longest
+            search()
+            size = 0
+            rows = [(doc, item, e, -n) for (doc, item), (e, n) in found.items()]
+            found.clear()
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
                 ["doc_id", "item_id", "edits", "passage_chars"],
@@ -246,23 +313,23 @@ def _scan(items, exact: bool):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, exact: bool = False) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, exact: bool = False, edits: int = EDITS) -> DataFrame:
     """``doc_id, item_id, edits, passage_chars``: every document with a passage of an item.
 
     ``exact`` keeps the pairs whose document holds the words of a passage unchanged (as words, in
-    the compared notation); otherwise passages within the edits count too.
+    the compared notation); otherwise passages within ``edits`` count too.
     """
     require(documents, ["doc_id", "text"])
     require(items, ["item_id", "text"])
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     docs = spread(documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     held = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = held.count() // BLOCK_ITEMS + 1
+    blocks = (held.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARACTERS + 1
     found = None
     for block in range(blocks):
         own = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
-        part = docs.mapInArrow(_scan(sent, exact), "doc_id long, item_id long, edits int, passage_chars int")
+        index = context.broadcast(Index([(r.item_id, r.text) for r in own.collect()], edits))
+        part = docs.mapInArrow(_scan(index, exact), "doc_id long, item_id long, edits int, passage_chars int")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "passage_chars")).alias("b")).select("doc_id", "item_id", "b.*")
 

@@ -75,8 +75,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a passage of an item within the edits, and how it differs."""
-    return leaked_passages.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Documents with a passage of an item within two edits, and how it differs."""
+    return leaked_passages.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2)
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,45 @@ def test_leaks_whole_partial_rewritten_and_near(spark):
     assert leaked_passages.leaks(d.limit(0), i).count() == 0 and leaked_passages.leaks(d, i.limit(0)).count() == 0
 
 
+def least_edits(window, text):
+    """Plain dynamic programming: the least edits between the window and any part of the text."""
+    row = np.zeros(len(text) + 1, int)
+    for c in window:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        best = np.minimum(row[1:] + 1, row[:-1] + (np.array(list(text)) != c))
+        for j, b in enumerate(best, 1):
+            new[j] = min(b, new[j - 1] + 1)
+        row = new
+    return int(row.min())
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_near_passages_against_brute_force(spark, edits):
+    rng = random.Random(edits)
+    words = [f"{a}{b}{c}" for a in "bdfk" for b in "aeio" for c in ("rst", "lm", "nd", "p")]
+    items = {i: [rng.choice(words) for _ in range(rng.choice([5, 12, 13, 14]))] for i in range(5)}
+    docs = {}
+    for d in range(30):
+        text = list(" ".join(items[d % 5]))
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(text))
+            text[k : k + 1] = rng.choice([[], [rng.choice("xyz")], [text[k], "q"]])
+        docs[d] = " ".join([rng.choice(words) for _ in range(20)]) + " " + "".join(text) + " " + rng.choice(words)
+    texts = {d: " ".join(leaked_passages.words_of(t)) for d, t in docs.items()}
+    want = set()
+    for d, t in texts.items():
+        for i, w in items.items():
+            size = min(12, len(w))
+            for k in range(len(w) - size + 1):
+                window = " ".join(w[k : k + size])
+                if least_edits(window, t) <= min(edits, len(window) // leaked_passages.Q - 1):
+                    want.add((d, i))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    held = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert want and found(leaked_passages.leaks(df, held, edits=edits).select("doc_id", "item_id")) == want
+
+
 def test_alignment():
     assert leaked_passages.aligned("abcdef", "xxabcdefxx", 1) == 0
     assert leaked_passages.aligned("abcdefgh", "xabcdXfghx", 1) == 1
