@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normspark.session import require
+from normspark.session import cut, require
 
 #: Characters of a chunk, and how far it reaches into the next.
 CHUNK, OVERLAP = 2_048, 256
@@ -77,20 +77,21 @@ def _encode(ranks, keys: list[str]):
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of long texts: ``doc_id, chunk, n_chunks, text``, each with its overlap."""
+    """Chunks of long texts: ``doc_id, key, chunk, n_chunks, text``, each with its overlap."""
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
             n = -(-len(text) // CHUNK)
             for i in range(0, n, 512):
                 own = range(i, min(n, i + 512))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc] * len(own), pa.int64()),
+                        pa.array([key] * len(own), pa.binary()),
                         pa.array(own, pa.int32()),
                         pa.array([n] * len(own), pa.int32()),
                         pa.array([text[c * CHUNK : (c + 1) * CHUNK + OVERLAP] for c in own], pa.string()),
                     ],
-                    ["doc_id", "chunk", "n_chunks", "text"],
+                    ["doc_id", "key", "chunk", "n_chunks", "text"],
                 )
 
 
@@ -102,22 +103,26 @@ def boundaries(text: str) -> list[int]:
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each seam (the end of chunk ``chunk``) the boundaries that either side sees in the overlap."""
     for batch in batches:
-        docs, seams, heads, tails = [], [], [], []
-        for doc, chunk, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunk", "n_chunks", "text")), strict=True):
+        docs, keys, seams, heads, tails = [], [], [], [], []
+        for doc, key, chunk, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "chunk", "n_chunks", "text")), strict=True):
             at = boundaries(text)
             limit = len(text) if chunk == n - 1 else len(text) - MARGIN
             if chunk > 0:
                 docs.append(doc)
+                keys.append(key)
                 seams.append(chunk - 1)
                 heads.append([b for b in at if b <= min(OVERLAP, limit)])
                 tails.append(None)
             if chunk < n - 1:
                 docs.append(doc)
+                keys.append(key)
                 seams.append(chunk)
                 heads.append(None)
                 tails.append([b - CHUNK for b in at if CHUNK <= b <= limit])
         kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(seams, pa.int32()), pa.array(heads, kind), pa.array(tails, kind)], ["doc_id", "seam", "head", "tail"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(keys, pa.binary()), pa.array(seams, pa.int32()), pa.array(heads, kind), pa.array(tails, kind)], ["doc_id", "key", "seam", "head", "tail"]
+        )
 
 
 def encode_corpus(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
@@ -129,23 +134,26 @@ def encode_corpus(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = (F.length("text") > CHUNK) & F.col("doc_id").isNotNull()
     whole = docs.where(~F.coalesce(long, F.lit(False)))
-    # a repeated document id would mix the chunks of two texts: the text's hash keeps them apart
-    cut_up = docs.where(long).withColumn("text_key", F.xxhash64("text"))
-    keyed = cut_up.select(F.xxhash64("doc_id", "text_key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    chunks = keyed.mapInArrow(_split, "doc_id long, chunk int, n_chunks int, text string").repartition("doc_id", "chunk")
-    seams = (
-        chunks.mapInArrow(_marks, "doc_id long, seam int, head array<int>, tail array<int>")
-        .groupBy("doc_id", "seam")
+    # a repeated document id would mix the chunks of two texts: the text's 128-bit digest keeps them apart
+    cut_up = docs.where(long).withColumn("key", F.unhex(F.md5("text")))
+    of = ["doc_id", "key"]
+    keyed = cut_up.select(*of, "text").dropDuplicates(of)
+    chunks = keyed.mapInArrow(_split, "doc_id long, key binary, chunk int, n_chunks int, text string").repartition(*of, "chunk")
+    seams = cut(
+        chunks.mapInArrow(_marks, "doc_id long, key binary, seam int, head array<int>, tail array<int>")
+        .groupBy(*of, "seam")
         .agg(F.max("head").alias("head"), F.max("tail").alias("tail"))
-        .select("doc_id", "seam", F.array_min(F.array_intersect("head", "tail")).alias("stitch"))
+        .select(*of, "seam", F.array_min(F.array_intersect("head", "tail")).alias("stitch"))
     )
-    lost = seams.where("stitch IS NULL").select("doc_id").distinct()
+    lost = seams.where("stitch IS NULL").select(*of).distinct()
+    # where each chunk's piece begins and ends: after the seam before it, to the seam after it
+    sides = F.array(F.struct(F.col("seam").alias("chunk"), F.lit(None).cast("int").alias("since"), F.col("stitch").alias("until")), F.struct((F.col("seam") + 1).alias("chunk"), F.col("stitch").alias("since"), F.lit(None).cast("int").alias("until")))
+    bounds = seams.select(*of, F.explode(sides).alias("b")).groupBy(*of, "b.chunk").agg(F.max("b.since").alias("since"), F.max("b.until").alias("until"))
     pieces = (
-        chunks.join(lost, "doc_id", "left_anti")
-        .join(seams.select("doc_id", F.col("seam").alias("chunk"), F.col("stitch").alias("until")), ["doc_id", "chunk"], "left")
-        .join(seams.select("doc_id", (F.col("seam") + 1).alias("chunk"), F.col("stitch").alias("since")), ["doc_id", "chunk"], "left")
+        chunks.join(lost, of, "left_anti")
+        .join(bounds, [*of, "chunk"])
         .select(
-            "doc_id",
+            *of,
             "chunk",
             F.substring(
                 F.col("text"),
@@ -155,14 +163,13 @@ def encode_corpus(documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
         )
     )
     stitched = (
-        pieces.mapInArrow(_encode(ranks, ["doc_id", "chunk"]), "doc_id long, chunk int, ids array<int>")
-        .groupBy("doc_id")
+        pieces.mapInArrow(_encode(ranks, [*of, "chunk"]), "doc_id long, key binary, chunk int, ids array<int>")
+        .groupBy(*of)
         .agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("p"))
-        .select("doc_id", F.flatten("p.ids").alias("ids"))
+        .select(*of, F.flatten("p.ids").alias("ids"))
     )
-    unsplit = keyed.join(lost, "doc_id", "left_semi").mapInArrow(_encode(ranks, ["doc_id"]), "doc_id long, ids array<int>")
-    of_text = stitched.unionByName(unsplit).withColumnRenamed("doc_id", "_key")
-    named = cut_up.select("doc_id", F.xxhash64("doc_id", "text_key").alias("_key")).join(of_text, "_key").select("doc_id", "ids")
+    unsplit = keyed.join(lost, of, "left_semi").mapInArrow(_encode(ranks, of), "doc_id long, key binary, ids array<int>")
+    named = cut_up.select(*of).join(stitched.unionByName(unsplit), of).select("doc_id", "ids")
     return whole.mapInArrow(_encode(ranks, ["doc_id"]), "doc_id long, ids array<int>").unionByName(named)
 
 

@@ -87,10 +87,18 @@ def cutoffs(scores: DataFrame, fractions: DataFrame, keys: list[str], finish_row
     )
     state = cut(state)
     within = (F.col("score") > F.col("lo")) & (F.col("score") < F.col("hi"))
+    written = None
     for _ in range(MAX_ROUNDS):
-        busy = state.where(F.col("cutoff").isNull() & (F.col("active") > finish_rows))
-        if busy.isEmpty():
+        still = state.where("cutoff IS NULL")
+        size = still.agg(F.sum("active").alias("total"), F.max("active").alias("most")).first()
+        if size.most is None or size.most <= finish_rows:
             break
+        # scores that are out are written no more, once at least half of them are
+        if written is not None and 2 * size.total <= written:
+            base = cut(base.join(broadcast_if_small(still.select(*keys, "lo", "hi")), keys).where(within).select(*keys, "score"))
+            written = size.total
+        written = size.total if written is None else written
+        busy = still.where(F.col("active") > finish_rows)
         active = base.join(broadcast_if_small(busy.select(*keys, "lo", "hi")), keys).where(within)
         medians = active.select(*keys, "score").mapInPandas(_partition_medians(keys), f"{score_type}, median double, weight long")
         # the weighted median of the partitions' medians: the first whose running weight reaches half
