@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import exp, lgamma, log, log1p
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from normspark.functions.ordered import running
 from normspark.operators.metrics import ratio
-from normspark.session import broadcast_if_small
+from normspark.session import broadcast_if_small, cut
 
 #: Half width of the bracket around a wanted quantile, and the accuracy of the approximation (its error is 1 / accuracy).
 BRACKET, ACCURACY = 0.002, 5_000
@@ -33,7 +33,16 @@ def higher_quantile(df: DataFrame, keys: list[str], value: str, q: float, name:
         F.col("_b")[0].alias("_lo"),
         F.when(F.lit(q + BRACKET >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
+    bounds = cut(bounds)
     joined = known.join(broadcast_if_small(bounds), keys) if keys else known.crossJoin(F.broadcast(bounds))
+    # a bracket that misses the place (the approximation was off) is replaced by the group's whole range
+    counted = joined.groupBy(*keys, "_place").agg(F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_b"), F.sum((F.col("_v") <= F.col("_hi")).cast("long")).alias("_e"))
+    missed = counted.where("_place < _b OR _place >= _e").select(*keys, F.lit(True).alias("_missed"))
+    if not (missed := cut(missed)).isEmpty():
+        wide = F.coalesce("_missed", F.lit(False))
+        bounds = bounds.join(missed, keys, "left") if keys else bounds.withColumn("_missed", F.lit(True))
+        bounds = cut(bounds.withColumns({"_lo": F.when(wide, F.lit(float("-inf"))).otherwise(F.col("_lo")), "_hi": F.when(wide, F.lit(float("inf"))).otherwise(F.col("_hi"))}).drop("_missed"))
+        joined = known.join(broadcast_if_small(bounds), keys) if keys else known.crossJoin(F.broadcast(bounds))
     below = joined.groupBy(*keys).agg(F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_below"))
     inside = joined.where("_v BETWEEN _lo AND _hi").groupBy(*keys, "_v", "_n", "_place").agg(F.count(F.lit(1)).alias("_c"))
     inside = inside.join(below, keys) if keys else inside.crossJoin(below)
@@ -143,13 +152,27 @@ def calibration_rollup(df: DataFrame, model: str, category: str, score: str, q:
     return own.unionByName(pooled)
 
 
-def _tail(k: int, n: int, p: float) -> float:
-    """Chance of at least ``k`` of ``n`` at rate ``p``."""
-    if p <= 0:
-        return float(k <= 0)
-    if p >= 1:
-        return 1.0
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k, n + 1)))
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(10_000):
+        m = i // 2
+        if i == 0:
+            step = 1.0
+        elif i % 2:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 + step * d, 1 + step / c
+        d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+        f *= c * d
+        if i and abs(c * d - 1) < 1e-15:
+            break
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) * (f - 1) / a
 
 
 def clopper_pearson_bounds(k: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
@@ -157,13 +180,11 @@ def clopper_pearson_bounds(k: int, n: int, confidence: float = 0.95) -> tuple[fl
     side = (1 - confidence) / 2
 
     def lower(k: int) -> float:
-        if k == 0:
-            return 0.0
-        a, b = 0.0, 1.0
-        for _ in range(100):
-            m = (a + b) / 2
-            a, b = (m, b) if _tail(k, n, m) < side else (a, m)
-        return (a + b) / 2
+        """The rate at which ``k`` or more of ``n`` have the chance ``side``."""
+        low, high = 0.0, float(k > 0)
+        while high - low > 1e-16 + 4e-16 * low and (mid := (low + high) / 2) not in (low, high):
+            low, high = (mid, high) if beta_share(mid, k, n - k + 1) < side else (low, mid)
+        return (low + high) / 2
 
     return lower(k), 1 - lower(n - k)
 

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from normspark.operators import calibration
 from normspark.operators.metrics import ratio
 
+#: Captures that a category's model is fitted on, at least.
 LEAST_ROWS = 16
 
 
-def robust_scale(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, center, scale``: median, and the largest of 1.4826 MAD, IQR / 1.349 and 1e-5."""
+def robust_scale(long: DataFrame, keys: list[str], value: str, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """``keys, n_rows, center, scale``: median, and the largest of 1.4826 MAD, IQR / 1.349 and 1e-5; groups of fewer than ``least_rows`` values have no model."""
     known = long.where(F.col(value).isNotNull() & ~F.isnan(value))
     center = known.groupBy(*keys).agg(F.percentile(value, 0.5).alias("center"), ((F.percentile(value, 0.75) - F.percentile(value, 0.25)) / 1.349).alias("_iqr"), F.count(F.lit(1)).alias("n_rows"))
     mad = known.join(center, keys).groupBy(*keys).agg((F.percentile(F.abs(F.col(value) - F.col("center")), 0.5) * 1.4826).alias("_mad"))
-    return center.join(mad, keys).select(*keys, "n_rows", "center", F.greatest("_mad", "_iqr", F.lit(1e-5)).alias("scale"))
+    return center.where(F.col("n_rows") >= least_rows).join(mad, keys).select(*keys, "n_rows", "center", F.greatest("_mad", "_iqr", F.lit(1e-5)).alias("scale"))
 
 
 def deviation(z: Column, direction: Column) -> Column:
@@ -54,6 +55,12 @@ def gate_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def gate_comparison(df: DataFrame, gate: str, keys: list[str]) -> DataFrame:
+    """The gate table of each gate, with the exact interval of its rejection rate."""
+    cells = gate_aggregate(df, [gate, *keys]).withColumn("rejection_rate", ratio(F.col("n_rejected"), F.col("n_rows")))
+    return calibration.clopper_pearson(cells, "n_rejected", "n_rows").withColumnsRenamed({"ci_low": "rejection_ci_low", "ci_high": "rejection_ci_high"})
+
+
 def gate_macro(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Pooled rates over cells: sums of counts, not means of rates."""
     return cells.groupBy(*keys).agg(

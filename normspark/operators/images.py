@@ -27,15 +27,15 @@ def convolve(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.einsum("ijkl,kl->ij", views, kernel)
 
 
-def gaussian(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian blur over three deviations to either side."""
-    r = max(1, int(np.ceil(3 * sigma)))
-    r = min(r, min(image.shape) - 1)
+def gaussian(image: np.ndarray, sigma: float, reach: float = 4.0) -> np.ndarray:
+    """Separable Gaussian blur over ``reach`` deviations to either side (3 is usual for 8-bit images, 4 for others)."""
+    r = min((round(2 * reach * sigma + 1) | 1) // 2, min(image.shape) - 1)
     line = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     line /= line.sum()
     return convolve(convolve(image, line[None, :]), line[:, None])
 
 
+# Derivative filters.
 SOBEL = np.array([[-1.0, 0, 1], [-2, 0, 2], [-1, 0, 1]])
 LAPLACE = np.array([[2.0, 0, 2], [0, -8, 0], [2, 0, 2]])
 
@@ -71,6 +71,16 @@ def capture_metrics(grey: np.ndarray) -> dict[str, float]:
     return dict(zip(METRICS, map(float, values), strict=True))
 
 
+def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resize to a smaller frame: each pixel is the mean of the area that it covers."""
+
+    def axis(n: int, m: int) -> np.ndarray:
+        low = np.arange(m)[:, None] * n / m
+        return np.clip(np.minimum(low + n / m, np.arange(n)[None, :] + 1) - np.maximum(low, np.arange(n)[None, :]), 0, None) * m / n
+
+    return np.moveaxis(np.tensordot(axis(image.shape[1], width), np.tensordot(axis(image.shape[0], height), image, (1, 0)), (1, 1)), 0, 1)
+
+
 def resize_linear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize with pixel centres aligned."""
 
@@ -102,8 +112,10 @@ def handcrafted(rgb: np.ndarray) -> np.ndarray:
     span = high - low
     safe = np.where(span > 0, span, 1)
     r, g, b = x[..., 0], x[..., 1], x[..., 2]
-    hue = np.select([high == r, high == g], [(g - b) / safe % 6, (b - r) / safe + 2], (r - g) / safe + 4) / 6 * (span > 0)
-    hsv = np.stack([hue, np.where(high > 0, span / np.where(high > 0, high, 1), 0), high], 2)
+    turn = np.select([high == r, high == g], [(g - b) / safe % 6, (b - r) / safe + 2], (r - g) / safe + 4) * (span > 0)
+    # an 8-bit hue counts half degrees, so it ends at 179
+    hue = np.rint(turn * 30) % 180 / 255
+    hsv = np.stack([hue, np.rint(255 * np.where(high > 0, span / np.where(high > 0, high, 1), 0)) / 255, high], 2)
     parts = []
     for space in (x, hsv):
         for c in range(3):
@@ -121,42 +133,91 @@ def handcrafted(rgb: np.ndarray) -> np.ndarray:
     return np.concatenate(parts).astype(np.float32)
 
 
-def shift(image: np.ndarray, family: str, parameters: dict[str, float], seed: int, key: str, condition: str) -> np.ndarray:
-    """A shifted copy of an 8-bit image; noise depends only on seed, key and condition. JPEG needs a codec and isn't offered."""
-    x = image.astype(np.float64)
+def rotation(height: int, width: int, angle_degrees: float, translate_x: float, translate_y: float) -> np.ndarray:
+    """The 2 x 3 matrix that turns (x, y) about the frame's centre, counterclockwise in the picture, and moves it."""
+    c, s = np.cos(np.deg2rad(angle_degrees)), np.sin(np.deg2rad(angle_degrees))
+    x, y = (width - 1) / 2, (height - 1) / 2
+    return np.array([[c, s, (1 - c) * x - s * y + translate_x], [-s, c, s * x + (1 - c) * y + translate_y]])
+
+
+def inverse_affine(matrix: np.ndarray) -> np.ndarray:
+    turn = np.linalg.inv(matrix[:, :2])
+    return np.concatenate([turn, -turn @ matrix[:, 2:]], 1)
+
+
+def warp(image: np.ndarray, matrix: np.ndarray, border: str, nearest: bool = False) -> np.ndarray:
+    """``image`` moved by ``matrix``: bilinear or nearest; outside it is mirrored (``reflect``, edge pixel once) or 0 (``zero``)."""
+    h, w = image.shape[:2]
+    back = inverse_affine(matrix)
+    y, x = np.mgrid[:h, :w]
+    sx, sy = back[0, 0] * x + back[0, 1] * y + back[0, 2], back[1, 0] * x + back[1, 1] * y + back[1, 2]
+
+    def at(yy: np.ndarray, xx: np.ndarray) -> np.ndarray:
+        def mirrored(v: np.ndarray, n: int) -> np.ndarray:
+            v = np.mod(v, max(1, 2 * (n - 1)))
+            return np.where(v >= n, 2 * (n - 1) - v, v) if n > 1 else np.zeros_like(v)
+
+        if border == "reflect":
+            return image[mirrored(yy, h), mirrored(xx, w)]
+        inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
+        values = image[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)]
+        return values * inside.reshape(inside.shape + (1,) * (image.ndim - 2))
+
+    if nearest:
+        return at(np.rint(sy).astype(int), np.rint(sx).astype(int))
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    shape = (h, w) + (1,) * (image.ndim - 2)
+    fy, fx = (sy - y0).reshape(shape), (sx - x0).reshape(shape)
+    return (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+
+
+def aligned_map(scores: np.ndarray, matrix: np.ndarray | None) -> np.ndarray:
+    """A score map of a shifted image in the coordinates of the clean one; ``matrix`` is what moved it, None if nothing did. Outside is 0."""
+    return scores.copy() if matrix is None else warp(scores.astype(np.float64), inverse_affine(matrix), "zero")
+
+
+def shift(image: np.ndarray, mask: np.ndarray, family: str, parameters: dict[str, float], seed: int, key: str, condition: str) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """A shifted copy of an 8-bit image, its mask, and the matrix that moved both (None but for ``geometric``).
+
+    Noise depends only on seed, key and condition. JPEG needs a codec and isn't offered.
+    """
+    x, moved, matrix = image.astype(np.float64), mask.astype(bool), None
     if family == "clean":
-        return image.copy()
+        return image.copy(), moved, None
     if family == "noise":
         digest = hashlib.sha256(f"{seed}:{key}:{condition}".encode()).digest()
         x = x + np.random.default_rng(int.from_bytes(digest[:8], "big")).normal(0.0, 255 * parameters["standard_deviation"], x.shape)
     elif family == "blur":
         planes = x[..., None] if x.ndim == 2 else x
-        x = np.stack([gaussian(planes[..., c], parameters["sigma"]) for c in range(planes.shape[2])], 2).reshape(x.shape)
+        x = np.rint(np.stack([gaussian(planes[..., c], parameters["sigma"], 3.0) for c in range(planes.shape[2])], 2).reshape(x.shape))
     elif family == "resize":
         h, w = x.shape[:2]
-        x = resize_linear(resize_linear(x, max(1, round(h * parameters["scale"])), max(1, round(w * parameters["scale"]))), h, w)
+        small = np.rint(resize_area(x, max(1, round(h * parameters["scale"])), max(1, round(w * parameters["scale"]))))
+        x = np.rint(resize_linear(small, h, w))
     elif family == "photometric":
         mean = x.mean((0, 1), keepdims=True)
         x = ((x - mean) * parameters["contrast"] + mean) * parameters["brightness"]
     elif family == "geometric":
-        h, w = x.shape[:2]
-        a = np.deg2rad(parameters["angle_degrees"])
-        y, z = np.mgrid[:h, :w]
-        y, z = y - (h - 1) / 2 - parameters["translate_y"], z - (w - 1) / 2 - parameters["translate_x"]
-        sy, sx = np.sin(a) * z + np.cos(a) * y + (h - 1) / 2, np.cos(a) * z - np.sin(a) * y + (w - 1) / 2
-        x = x[np.clip(np.rint(sy), 0, h - 1).astype(int), np.clip(np.rint(sx), 0, w - 1).astype(int)]
+        matrix = rotation(*x.shape[:2], parameters["angle_degrees"], parameters["translate_x"], parameters["translate_y"])
+        x, moved = np.rint(warp(x, matrix, "reflect")), warp(moved.astype(np.uint8), matrix, "zero", nearest=True).astype(bool)
     else:
         raise ValueError(f"unknown shift family {family}")
-    return np.clip(x, 0, 255).astype(np.uint8)
+    return np.clip(x, 0, 255).astype(np.uint8), moved, matrix
+
+
+def light_and_edges(grey: np.ndarray) -> tuple[float, float]:
+    """Mean of a grey image in 0..1, and of its gradient's length."""
+    g = grey.astype(np.float64)
+    return float(g.mean()), float(np.hypot(convolve(g, SOBEL), convolve(g, SOBEL.T)).mean())
 
 
-def map_images(df: DataFrame, key: list[str], pixels: str, side: int, kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """``key`` and the kernel's values for every square grey image given as an array of ``side * side`` values; others are left out."""
+def map_images(df: DataFrame, key: list[str], pixels: str, side: int, kernel: Callable[..., dict], schema: str) -> DataFrame:
+    """``key`` and the kernel's values (``kernel(image, *key)``) for every square grey image given as an array of ``side * side`` values; others are left out."""
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [kernel(np.asarray(v).reshape(side, side)) for v in pdf[pixels]]
+            rows = [kernel(np.asarray(v).reshape(side, side), *k) for v, k in zip(pdf[pixels], pdf[key].itertuples(index=False), strict=True)]
             yield pd.concat([pdf[key].reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
 
     columns = [c.strip().split()[0] for c in schema.split(",")]

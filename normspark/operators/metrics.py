@@ -83,17 +83,24 @@ def ranking_metrics(df: DataFrame, keys: list[str], target: str = "target", scor
     )
 
 
-def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the value's rank within its group, equal values at the mean of their places."""
-    per_value = cut(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    ranked = running(per_value, keys, value, {"_upto": "_c"}).select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).cast("double").alias(name))
-    return df.join(ranked, [*keys, value])
+def mid_ranks(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with the rank of each column (column -> name) within its group, equal values at the mean of their places.
+
+    The distinct values of all columns are counted and summed in one pass.
+    """
+    values = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))
+    per_value = cut(df.select(*keys, F.explode(values).alias("_e")).groupBy(*keys, F.col("_e.c").alias("_which"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    ranked = cut(running(per_value, [*keys, "_which"], "_v", {"_upto": "_c"}).select(*keys, "_which", "_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).cast("double").alias("_rank")))
+    for column, name in columns.items():
+        own = ranked.where(F.col("_which") == column).select(*keys, F.col("_v").alias("_own"), F.col("_rank").alias(name))
+        df = df.withColumn("_own", F.col(column).cast("double")).join(own, [*keys, "_own"]).drop("_own")
+    return df
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation per group; if a side is constant, 1 where the ranks are equal throughout, else 0."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = mid_ranks(mid_ranks(known, keys, "_a", "_ra"), keys, "_b", "_rb")
+    ranked = mid_ranks(known, keys, {"_a": "_ra", "_b": "_rb"})
     out = ranked.groupBy(*keys).agg(
         correlation("_ra", "_rb").alias("_corr"),
         (F.min("_ra") == F.max("_ra")).alias("_ca"),

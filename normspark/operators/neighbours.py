@@ -42,7 +42,7 @@ def nearest_score(queries: DataFrame, bank: DataFrame, category: str, key: str,
     """
     slots = bank.select(F.col(category).alias("_bc"), F.col("vec").alias("_bv"))
     on = F.col(category) == F.col("_bc") if own else F.col(category) != F.col("_bc")
-    joined = queries.select(key, category, F.col(vec).alias("_v")).join(F.broadcast(slots), on)
+    joined = queries.select(key, category, F.col(vec).alias("_v")).join(broadcast_if_small(slots), on)
     return joined.groupBy(key, category).agg(F.sqrt(F.min(squared_distance("_v", "_bv"))).alias("score"))
 
 

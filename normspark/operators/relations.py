@@ -59,7 +59,7 @@ def nested_counts(df: DataFrame, dimensions: dict[str, list]) -> DataFrame:
         axis = df.sparkSession.createDataFrame([(v,) for v in values], f"{name} {df.schema[name].dataType.simpleString()}")
         grid = axis if grid is None else grid.crossJoin(axis)
     counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"))
-    return F.broadcast(grid).join(counts, names, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0))) if grid is not None else counts
+    return grid.join(counts, names, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0))) if grid is not None else counts
 
 
 def group_tables(df: DataFrame, dimensions: list[str], aggregates: list) -> DataFrame:

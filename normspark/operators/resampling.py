@@ -8,7 +8,7 @@ hash of its id, partial sums are formed in the map tasks, and only one row a gro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_UNITS = 2_000_000
+#: Draws that are held at once.
+BLOCK = 4_000_000
+
+
+def _blocks(samples: int, units: int) -> Iterator[int]:
+    """Numbers of resamples that are drawn at once; the stream of draws is that of one big draw."""
+    size = max(1, BLOCK // max(1, units))
+    for start in range(0, samples, size):
+        yield min(size, samples - start)
 
 
 def interval(values: np.ndarray, confidence: float) -> tuple[float | None, float | None]:
@@ -33,8 +42,9 @@ def mean_interval(values: np.ndarray, seed: int, samples: int, confidence: float
         return None, None
     if len(values) == 1:
         return float(values[0]), float(values[0])
-    picks = np.random.default_rng(seed).choice(values, (samples, len(values)), replace=True)
-    return interval(picks.mean(1), confidence)
+    rng = np.random.default_rng(seed)
+    means = [rng.choice(values, (n, len(values)), replace=True).mean(1) for n in _blocks(samples, len(values))]
+    return interval(np.concatenate(means), confidence)
 
 
 def _checked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -66,25 +76,26 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, order: str, seed:
     return _grouped(df, keys, run, "n_units long, mean double, ci_low double, ci_high double")
 
 
-def resampled_ranking(target: np.ndarray, scores: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """AUROC, average precision and FPR at 95 % TPR of each resample (rows of indexes), by counts per distinct score."""
+def resampled_ranking(target: np.ndarray, scores: np.ndarray, picks: Iterable[np.ndarray]) -> np.ndarray:
+    """AUROC, average precision and FPR at 95 % TPR of each resample (row numbers), by counts per distinct score."""
     distinct, place = np.unique(-scores, return_inverse=True)
-    out = np.empty((len(picks), 3))
-    for i, own in enumerate(picks):
+    out = []
+    for own in picks:
         p = np.bincount(place[own], weights=target[own], minlength=len(distinct))
         n = np.bincount(place[own], minlength=len(distinct)) - p
         tp, fp = np.cumsum(p), np.cumsum(n)
         seen = tp + fp > 0
         reach = tp >= 0.95 * tp[-1]
-        out[i] = (n * (tp - p / 2)).sum() / (tp[-1] * fp[-1]), (p[seen] * tp[seen] / (tp + fp)[seen]).sum() / tp[-1], (fp[reach] / fp[-1]).min()
-    return out
+        out.append(((n * (tp - p / 2)).sum() / (tp[-1] * fp[-1]), (p[seen] * tp[seen] / (tp + fp)[seen]).sum() / tp[-1], (fp[reach] / fp[-1]).min()))
+    return np.array(out).reshape(-1, 3)
 
 
-def stratified_picks(target: np.ndarray, seed: int, samples: int) -> np.ndarray:
-    """Index rows: per resample, first draws from the normals, then from the anomalies, as many as there are."""
+def stratified_picks(target: np.ndarray, seed: int, samples: int) -> Iterator[np.ndarray]:
+    """Per resample its row numbers: first draws from the normals, then from the anomalies, as many as there are."""
     rng = np.random.default_rng(seed)
     normal, anomalous = np.flatnonzero(target == 0), np.flatnonzero(target == 1)
-    return np.stack([np.concatenate([rng.choice(part, size=len(part), replace=True) for part in (normal, anomalous)]) for _ in range(samples)])
+    for _ in range(samples):
+        yield np.concatenate([rng.choice(part, size=len(part), replace=True) for part in (normal, anomalous)])
 
 
 def bootstrap_ranking(df: DataFrame, keys: list[str], order: str, seed: int, samples: int = 200, confidence: float = 0.95, target: str = "target", score: str = "score") -> DataFrame:
@@ -111,8 +122,8 @@ def bootstrap_paired_ranking(df: DataFrame, keys: list[str], order: str, old: st
         t = pdf[target].to_numpy(np.int64)
         if not (t == 0).any() or not (t == 1).any():
             return dict.fromkeys(["auroc_delta_low", "auroc_delta_high", "ap_delta_low", "ap_delta_high"])
-        picks = stratified_picks(t, seed, samples)
-        delta = resampled_ranking(t, pdf[new].to_numpy(np.float64), picks) - resampled_ranking(t, pdf[old].to_numpy(np.float64), picks)
+        after, before = (resampled_ranking(t, pdf[c].to_numpy(np.float64), stratified_picks(t, seed, samples)) for c in (new, old))
+        delta = after - before
         (a, b), (c, d) = interval(delta[:, 0], confidence), interval(delta[:, 1], confidence)
         return {"auroc_delta_low": a, "auroc_delta_high": b, "ap_delta_low": c, "ap_delta_high": d}
 
@@ -128,7 +139,8 @@ def bootstrap_paired_ratio(df: DataFrame, keys: list[str], order: str, old: tupl
 
     def run(pdf: pd.DataFrame) -> dict:
         x = pdf.sort_values(order)[[*old, *new]].fillna(0).to_numpy(np.float64)
-        sums = x[np.random.default_rng(seed).integers(0, len(x), (samples, len(x)))].sum(1)
+        rng = np.random.default_rng(seed)
+        sums = np.concatenate([x[rng.integers(0, len(x), (n, len(x)))].sum(1) for n in _blocks(samples, 4 * len(x))])
         with np.errstate(divide="ignore", invalid="ignore"):
             values = sums[:, 2] / sums[:, 3] - sums[:, 0] / sums[:, 1]
             total = x.sum(0)

@@ -49,7 +49,7 @@ def failure_clusters(df: DataFrame, keys: list[str]) -> DataFrame:
     ``df`` has ``target, score, clean_score, transition``.
     """
     delta = F.col("score") - F.col("clean_score")
-    ranked = mid_ranks(mid_ranks(df, keys, "score", "_r"), keys, "clean_score", "_rc")
+    ranked = mid_ranks(df, keys, {"score": "_r", "clean_score": "_rc"})
     failed = F.col("transition").isin("new_false_positive", "new_false_negative")
     names = ["new_false_positive", "new_false_negative", "recovered_normal", "recovered_anomaly", "unchanged_error"]
     return ranked.groupBy(*keys).agg(

@@ -495,7 +495,7 @@ def map_correlation(s, d):
 _GATE = """
 WITH m AS (SELECT doc_id, source AS category, (CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS UBIGINT) % 3)::INTEGER AS role, unnest(['chars', 'words', 'digits']) AS metric,
   unnest([length(text)::DOUBLE, len(string_split(text, ' '))::DOUBLE, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE]) AS value FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-c AS (SELECT category, metric, median(value) AS center, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS iqr, count(*) AS n_rows FROM m WHERE role = 0 GROUP BY ALL),
+c AS (SELECT category, metric, median(value) AS center, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS iqr, count(*) AS n_rows FROM m WHERE role = 0 GROUP BY ALL HAVING count(*) >= 16),
 fit AS (SELECT m.category, m.metric, n_rows, center, greatest(median(abs(value - center)) * 1.4826, iqr, 1e-5) AS scale FROM m JOIN c USING (category, metric) WHERE role = 0 GROUP BY m.category, m.metric, n_rows, center, iqr),
 dev AS (SELECT doc_id, category, role, metric, CASE metric WHEN 'chars' THEN abs((value - center) / scale) WHEN 'words' THEN greatest(-(value - center) / scale, 0) ELSE greatest((value - center) / scale, 0) END AS deviation FROM m JOIN fit USING (category, metric)),
 q AS (SELECT doc_id, category, role, max(deviation) AS quality_score, list(metric ORDER BY deviation DESC, metric)[1:2] AS contributors FROM dev GROUP BY ALL)
@@ -540,12 +540,15 @@ cells AS (SELECT category, family, count(*) AS n_rows, count(*) FILTER (rejected
 """
 
 
-def _cells(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "events").where("value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL").select(
+def _gated(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").where("value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL").select(
         (F.col("user_id") % 12).alias("category"), F.col("event_type").alias("family"), (F.col("event_type") == "error").cast("int").alias("target"),
         F.when(F.col("value") > 20, "anomalous").otherwise("normal").alias("decision"), (F.col("event_id") % 7 == 0).alias("rejected"),
     )
-    return gates.gate_aggregate(rows, ["category", "family"])
+
+
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    return gates.gate_aggregate(_gated(s, d), ["category", "family"])
 
 
 @query(_CELLS + "SELECT * FROM cells")
@@ -553,6 +556,14 @@ def gate_aggregate(s, d):
     return _cells(s, d)
 
 
+@query(_CELLS.replace("cells AS (SELECT category, family", "gg AS (SELECT 'v1' AS gate, * FROM g UNION ALL SELECT 'v2', * REPLACE (rejected AND target = 0 AS rejected) FROM g), cells AS (SELECT gate, family").replace("AS n_intercepted FROM g", "AS n_intercepted FROM gg") + "SELECT gate, family, n_rows, n_rejected, n_wrong, n_intercepted, round(n_rejected::DOUBLE / n_rows, 6) AS rejection_rate FROM cells")
+def gate_comparison(s, d):
+    """Two gates over the same captures; the intervals are compared in a test."""
+    rows = _gated(s, d)
+    both = rows.withColumn("gate", F.lit("v1")).unionByName(rows.withColumns({"gate": F.lit("v2"), "rejected": F.col("rejected") & (F.col("target") == 0)}))
+    return rounded(gates.gate_comparison(both, "gate", ["family"]).drop("rejection_ci_low", "rejection_ci_high"), ["rejection_rate"])
+
+
 @query(_CELLS + "SELECT family, sum(n_rows)::BIGINT AS n_rows, round(sum(n_rejected)::DOUBLE / sum(n_rows), 6) AS rejection_rate, round(sum(n_intercepted)::DOUBLE / nullif(sum(n_wrong), 0), 6) AS interception_rate FROM cells GROUP BY family")
 def gate_macro(s, d):
     return rounded(gates.gate_macro(_cells(s, d), ["family"]), ["rejection_rate", "interception_rate"])

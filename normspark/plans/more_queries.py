@@ -223,25 +223,48 @@ def bootstrap_poisson(s, d):
 @query()
 def capture_metrics(s, d):
     thumbs = table(s, d, "grouping_records")
-    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x: images.capture_metrics(x / 255.0), ", ".join(f"{m} double" for m in images.METRICS))
+    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x, path: images.capture_metrics(x / 255.0), ", ".join(f"{m} double" for m in images.METRICS))
 
 
 @query()
 def difference_hash(s, d):
     thumbs = table(s, d, "grouping_records")
-    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x: {"dhash": f"{images.difference_hash(x):016x}"}, "dhash string")
+    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x, path: {"dhash": f"{images.difference_hash(x):016x}"}, "dhash string")
 
 
 @query()
 def handcrafted_descriptor(s, d):
     thumbs = table(s, d, "grouping_records")
-    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x: {"descriptor": images.handcrafted(np.repeat(x[..., None], 3, 2)).tolist()}, "descriptor array<float>")
+    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x, path: {"descriptor": images.handcrafted(np.repeat(x[..., None], 3, 2)).tolist()}, "descriptor array<float>")
 
 
 @query()
 def shift_noise(s, d):
-    thumbs = table(s, d, "grouping_records")
-    return images.map_images(thumbs, ["image_path"], "thumbnail", 32, lambda x: {"mean": float(images.shift(x, "noise", {"standard_deviation": 0.05}, 3, "frame", "noise_1").mean())}, "mean double")
+    """The mean of each image under noise of its own."""
+
+    def noisy(x: np.ndarray, path: str) -> dict:
+        return {"mean": float(images.shift(x, np.zeros(x.shape, bool), "noise", {"standard_deviation": 0.05}, 3, path, "noise_1")[0].mean())}
+
+    return images.map_images(table(s, d, "grouping_records"), ["image_path"], "thumbnail", 32, noisy, "mean double")
+
+
+@query()
+def shift_geometric(s, d):
+    """Bright pixels of each image as a mask, turned and moved with it, and the shifted map brought back: how much of the mask it covers."""
+
+    def moved(x: np.ndarray, path: str) -> dict:
+        mask = x >= np.quantile(x, 0.9)
+        shifted, new, matrix = images.shift(x, mask, "geometric", {"angle_degrees": 4.0, "translate_x": 2.0, "translate_y": -1.0}, 3, path, "geometric_1")
+        back = images.aligned_map(new.astype(np.float64), matrix) > 0.5
+        return {"mask_pixels": int(mask.sum()), "moved_pixels": int(new.sum()), "overlap": float((back & mask).sum() / mask.sum()), "mean": float(shifted.mean())}
+
+    return images.map_images(table(s, d, "grouping_records"), ["image_path"], "thumbnail", 32, moved, "mask_pixels int, moved_pixels int, overlap double, mean double")
+
+
+@query("WITH t AS (SELECT image_path, thumbnail FROM grouping_records WHERE len(thumbnail) = 1024) SELECT image_path, round(list_avg(thumbnail) / 255, 4) AS light FROM t")
+def light_and_edges(s, d):
+    rows = images.map_images(table(s, d, "grouping_records"), ["image_path"], "thumbnail", 32, lambda x, path: dict(zip(("light", "edges"), images.light_and_edges(x / 255.0), strict=True)), "light double, edges double")
+    return rounded(rows.select("image_path", "light"), ["light"], 4)
 
 
 @query()

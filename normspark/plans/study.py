@@ -83,7 +83,7 @@ def conditions(spark: SparkSession) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test row under every condition and model, with its prediction; the dimensions are a few literal rows."""
     models = spark.createDataFrame(MODELS, "model string, power int")
-    rows = test_rows(spark, sf_dir).join(F.broadcast(thresholds(spark, sf_dir).drop("n_values")), "category")
+    rows = test_rows(spark, sf_dir).join(thresholds(spark, sf_dir).drop("n_values"), "category")
     rows = rows.crossJoin(F.broadcast(conditions(spark))).crossJoin(F.broadcast(models))
     shifted = F.col("score") * F.col("factor") + F.col("bias")
     score = F.when(F.col("power") == 1, shifted).otherwise(shifted * shifted)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from normspark.operators import calibration, metrics, robustness
 from normspark.plans import study
+from normspark.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +48,7 @@ def three_way_decision(s, d):
 
 @query("SELECT t.sample_id, CASE WHEN score > threshold THEN 'anomalous' ELSE 'normal' END AS decision FROM test t JOIN threshold USING (category)")
 def binary_decision(s, d):
-    rows = study.test_rows(s, d).join(F.broadcast(study.thresholds(s, d)), "category")
+    rows = study.test_rows(s, d).join(study.thresholds(s, d), "category")
     return rows.select("sample_id", calibration.binary_decision(F.col("score"), F.col("threshold")).alias("decision"))
 
 
@@ -187,7 +188,7 @@ def transition_class(s, d):
     " round(corr(ra, rb), 6) AS score_spearman FROM r GROUP BY model, category, condition"
 )
 def failure_clusters(s, d):
-    return rounded(robustness.failure_clusters(_paired(s, d), ["model", "category", "condition"]), ["failure_rate", "normal_score_delta", "anomaly_score_delta", "score_spearman"])
+    return rounded(robustness.failure_clusters(cut(_paired(s, d)), ["model", "category", "condition"]), ["failure_rate", "normal_score_delta", "anomaly_score_delta", "score_spearman"])
 
 
 @query(
@@ -196,7 +197,7 @@ def failure_clusters(s, d):
     " SELECT model, category, condition, count(*) AS n_rows, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY model, category, condition"
 )
 def spearman_stability(s, d):
-    return rounded(metrics.spearman(_paired(s, d), ["model", "category", "condition"], "score", "clean_score"), ["spearman"])
+    return rounded(metrics.spearman(cut(_paired(s, d).select("model", "category", "condition", "score", "clean_score")), ["model", "category", "condition"], "score", "clean_score"), ["spearman"])
 
 
 @query(
@@ -254,10 +255,10 @@ def family_summary(s, d):
 
 
 @query(
-    ", c AS (SELECT model, condition, avg(recall) AS recall FROM operating WHERE severity = 2 GROUP BY ALL) SELECT model, round(avg(recall), 6) AS recall FROM c GROUP BY model"
+    ", c AS (SELECT model, condition, avg(recall) AS recall FROM operating WHERE condition <> 'clean' GROUP BY ALL) SELECT model, round(avg(recall), 6) AS recall FROM c GROUP BY model"
 )
 def severe_policy_mean(s, d):
-    return rounded(robustness.family_summary(_operating(s, d).where("severity = 2"), ["model"], ["recall"], family="severity").select("model", "recall"), ["recall"])
+    return rounded(robustness.family_summary(_operating(s, d).withColumn("all", F.lit(0)), ["model"], ["recall"], family="all").select("model", "recall"), ["recall"])
 
 
 @query(
@@ -277,7 +278,7 @@ def hypothesis_h2(s, d):
 )
 def hypothesis_h3(s, d):
     pooled = calibration.higher_quantile(study.calibration_rows(s, d), [], "score", study.QUANTILE, "pooled")
-    rows = study.test_rows(s, d).where("target = 0").join(F.broadcast(study.thresholds(s, d).drop("n_values")), "category").crossJoin(F.broadcast(pooled.select("pooled")))
+    rows = study.test_rows(s, d).where("target = 0").join(study.thresholds(s, d).drop("n_values"), "category").crossJoin(F.broadcast(pooled.select("pooled")))
     fpr = rows.groupBy("category").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("own"), F.avg((F.col("score") > F.col("pooled")).cast("double")).alias("pooled"))
     return rounded(fpr.agg(F.count(F.lit(1)).alias("n_units"), F.avg(F.abs(F.col("pooled") - 0.05) - F.abs(F.col("own") - 0.05)).alias("estimate")), ["estimate"])
 

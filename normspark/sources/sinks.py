@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, exclusive: bool = False) -> None:
-    """Write beside ``path`` and rename; an older table there is set aside first, or refused if ``exclusive``."""
+    """Write beside ``path`` and rename; an older table there is set aside first, or refused if ``exclusive`` (the one writer that creates ``path.claim`` goes on)."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
-    if exclusive and fs.exists(target):
-        raise FileExistsError(path)
+    claim = _fs(spark, f"{path}.claim")[1]
+    if exclusive:
+        # of several writers one creates the claim; it stays beside the table
+        if fs.exists(target):
+            raise FileExistsError(path)
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            raise FileExistsError(path) from e
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     writer = df.write.format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(staging)

@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,12 +174,45 @@ def test_tiles(spark):
 
 def test_gate(spark):
     rows = [("c", "m", float(v)) for v in range(9)] + [("c", "m", None)]
-    r = gates.robust_scale(spark.createDataFrame(rows, "category string, metric string, value double"), ["category", "metric"], "value").first()
+    df = spark.createDataFrame(rows, "category string, metric string, value double")
+    assert gates.robust_scale(df, ["category", "metric"], "value").count() == 0  # too few to fit a model on
+    r = gates.robust_scale(df, ["category", "metric"], "value", 9).first()
     assert r.center == 4 and r.scale == pytest.approx(max(1.4826 * 2, 4 / 1.349))
     df = spark.createDataFrame([(-2.0, "lower"), (2.0, "lower"), (2.0, "upper"), (-3.0, "two_sided")], "z double, d string")
     assert [x[0] for x in df.select(gates.deviation(F.col("z"), F.col("d"))).collect()] == [2.0, 0.0, 2.0, 3.0]
 
 
+def test_two_gates_with_exact_intervals(spark):
+    rows = [(g, 0, i < k, "normal") for g, k in (("v1", 0), ("v2", 7)) for i in range(20)]
+    got = {r.gate: r for r in gates.gate_comparison(spark.createDataFrame(rows, "gate string, target int, rejected boolean, decision string"), "gate", []).collect()}
+    assert got["v1"].rejection_ci_low == 0 and got["v1"].rejection_ci_high == pytest.approx(1 - 0.025 ** (1 / 20))
+    # chance of 7 or more of 20 at the lower end, of 7 or fewer at the upper end
+    tail = [sum(math.comb(20, k) * p**k * (1 - p) ** (20 - k) for k in part) for p, part in ((got["v2"].rejection_ci_low, range(7, 21)), (got["v2"].rejection_ci_high, range(8)))]
+    assert tail == pytest.approx([0.025, 0.025])
+
+
+def test_moved_images_and_masks():
+    frame = np.arange(49, dtype=np.uint8).reshape(7, 7) * 5
+    mask = np.zeros((7, 7), bool)
+    mask[2, 4] = True
+    still, same, matrix = images.shift(frame, mask, "geometric", {"angle_degrees": 0.0, "translate_x": 1.0, "translate_y": -1.0}, 1, "k", "c")
+    assert same[1, 5] and same.sum() == 1 and (still[:6, 1:] == frame[1:, :6]).all()
+    assert (still[6, 1:] == frame[5, :6]).all()  # mirrored at the lower edge
+    assert (images.aligned_map(same.astype(float), matrix) > 0.5).tolist() == mask.tolist()
+    turned, quarter, _ = images.shift(frame, mask, "geometric", {"angle_degrees": 90.0, "translate_x": 0.0, "translate_y": 0.0}, 1, "k", "c")
+    assert (turned == np.rot90(frame)).all() and (quarter == np.rot90(mask)).all()
+    assert images.resize_area(np.array([[0.0, 2, 4], [2, 4, 6], [1, 1, 1]]), 1, 1)[0, 0] == pytest.approx(21 / 9)
+    assert images.resize_area(np.array([[0.0, 3, 6]]), 1, 2)[0].tolist() == pytest.approx([1.0, 5.0])
+
+
+def test_hue_bins_of_a_colour():
+    blue = np.zeros((8, 8, 3), np.uint8)
+    blue[..., 2] = 255  # hue 240 degrees: 120 of 255, bin 7 of 16
+    parts = images.handcrafted(blue)
+    hue = parts[3 * 21 : 4 * 21]
+    assert hue[0] == pytest.approx(120 / 255) and hue[5 + 7] == 1.0
+
+
 def test_neighbours_and_k_center(spark):
     rows = [("c", i, [float(i), 0.0]) for i in (0, 1, 2, 10)]
     v = spark.createDataFrame(rows, "category string, id long, vec array<float>")
@@ -209,10 +244,11 @@ def test_kernels_move_the_right_way():
     rng = np.random.default_rng(1)
     frame = np.kron(rng.integers(40, 216, (8, 8)), np.ones((8, 8))).astype(np.uint8)
     base = images.capture_metrics(frame / 255)
-    blurred = images.capture_metrics(images.shift(frame, "blur", {"sigma": 2.0}, 1, "k", "c") / 255)
-    noisy = images.capture_metrics(images.shift(frame, "noise", {"standard_deviation": 0.1}, 1, "k", "c") / 255)
+    blurred = images.capture_metrics(images.shift(frame, frame > 9, "blur", {"sigma": 2.0}, 1, "k", "c")[0] / 255)
+    noisy = images.capture_metrics(images.shift(frame, frame > 9, "noise", {"standard_deviation": 0.1}, 1, "k", "c")[0] / 255)
     assert blurred["sharpness"] < base["sharpness"] and noisy["noise"] > base["noise"] and noisy["log_flat_noise"] > base["log_flat_noise"]
-    assert (images.shift(frame, "noise", {"standard_deviation": 0.1}, 1, "k", "c") == images.shift(frame, "noise", {"standard_deviation": 0.1}, 1, "k", "c")).all()
+    one, same, other = (images.shift(frame, frame > 9, "noise", {"standard_deviation": 0.1}, 1, k, "c")[0] for k in ("k", "k", "l"))
+    assert (one == same).all() and (one != other).any()
     assert images.difference_hash(np.tile(np.arange(32) * 8, (32, 1))) == 2**64 - 1
     assert np.isclose(images.handcrafted(np.repeat(frame[..., None], 3, 2))[5:21].sum(), 1)
 
