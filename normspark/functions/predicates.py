@@ -39,3 +39,8 @@ def timestamp_ok(text: Column, now: Column, after: Column | None = None) -> Colu
 def percent(value: Column, places: int = 1) -> Column:
     """A share as a percentage, a dash for nothing."""
     return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{places}f%%", value * 100))
+
+
+def signed(value: Column, places: int = 3) -> Column:
+    """A number with its sign, a dash for nothing."""
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%+.{places}f", value))

@@ -305,6 +305,21 @@ def tile_blend(tiles: DataFrame, keys: list[str], size: int, floor: float = 0.05
     return tiles.groupBy(*keys, (F.col("top") + F.col("y")).alias("frame_y"), (F.col("left") + F.col("x")).alias("frame_x")).agg((F.sum(w * F.col("score")) / F.sum(w)).alias("score"))
 
 
+def lost_mask(pixels: DataFrame, image: str, mask: str, support: str, factor: int) -> DataFrame:
+    """``image, lost_mask, fine_cells, coarse_cells, coarse_iou``: a mask sampled at every ``factor``-th pixel of either axis.
+
+    It is lost if it has pixels but none on that grid; the overlap of mask and support on the grid is null where the grid has no mask.
+    """
+    on_grid = (F.col("y") % factor == 0) & (F.col("x") % factor == 0)
+    cells = pixels.groupBy(image, F.floor(F.col("y") / factor).alias("_cy"), F.floor(F.col("x") / factor).alias("_cx")).agg(F.bool_or(mask).alias("_f"), F.bool_or(F.col(mask) & on_grid).alias("_c"), F.bool_or(F.col(support) & on_grid).alias("_s"))
+
+    def n(c: Column) -> Column:
+        return F.coalesce(F.sum(c.cast("long")), F.lit(0))
+
+    iou = F.when(F.bool_or("_c"), ratio(n(F.col("_c") & F.col("_s")), n(F.col("_c") | F.col("_s"))))
+    return cells.groupBy(image).agg((F.bool_or("_f") & ~F.bool_or("_c")).alias("lost_mask"), n(F.col("_f")).alias("fine_cells"), n(F.col("_c")).alias("coarse_cells"), iou.alias("coarse_iou"))
+
+
 def cell_scale(reference: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Per cell median and deviation (1.4826 MAD, at least a tenth of the median deviation and 1e-5)."""
     center = reference.groupBy(*keys, "y", "x").agg(F.percentile(score, 0.5).alias("center"))

@@ -223,3 +223,23 @@ def map_images(df: DataFrame, key: list[str], pixels: str, side: int, kernel: Ca
     columns = [c.strip().split()[0] for c in schema.split(",")]
     usable = df.where((F.size(pixels) == side * side) & ~F.exists(pixels, lambda v: v.isNull())).select(*key, pixels)
     return usable.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", {schema}")
+
+
+def centred_errors(a: str, b: str):
+    """Mean absolute difference of two arrays of grey values of one length, lowered by the whole part of their means (``whole``), by their
+    means (``mean``), or standardised, a deviation under 1 counting as 1 (``standard``); null for nulls and other lengths. A struct column.
+    """
+
+    @F.pandas_udf("whole double, mean double, standard double")
+    def errors(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(left, right, strict=True):
+            if x is None or y is None or len(x) != len(y) or not len(x):
+                rows.append((None, None, None))
+                continue
+            pair = np.stack([x, y]).astype(np.float64)
+            centre, spread = pair.mean(1, keepdims=True), np.maximum(pair.std(1, keepdims=True), 1.0)
+            rows.append(tuple(float(np.abs(v[0] - v[1]).mean()) for v in (pair - np.trunc(centre), pair - centre, (pair - centre) / spread)))
+        return pd.DataFrame(rows, columns=["whole", "mean", "standard"])
+
+    return errors(F.col(a), F.col(b))

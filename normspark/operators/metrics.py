@@ -115,3 +115,13 @@ def macro_mean(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Means over the rows of each group with equal weight; NaN counts as undefined, like null."""
     clean = df.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in metrics})
     return clean.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in metrics), *(F.count(m).alias(f"{m}_defined") for m in metrics))
+
+
+def report_macros(df: DataFrame, keys: list[str], counts: list[str], means: dict[str, tuple[str, Column]], eligible: Column) -> DataFrame:
+    """Sums of counts, means of rates over the rows that have them (name -> column, condition), and how many rows there are and are eligible."""
+    return df.groupBy(*keys).agg(
+        *(F.sum(c).alias(c) for c in counts),
+        F.count(F.lit(1)).alias("categories"),
+        F.sum(eligible.cast("long")).alias("eligible_categories"),
+        *(F.avg(F.when(condition, F.col(c))).alias(name) for name, (c, condition) in means.items()),
+    )

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normspark.functions.hashing import digest
+from normspark.operators.relations import ContractError
 from normspark.session import broadcast_if_small
+from normspark.sources import sinks
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -103,3 +105,35 @@ def project(vectors: DataFrame, key: list[str], vec: str, dimension: int, target
 def coverage_radius(vectors: DataFrame, bank: DataFrame, category: str, key: str, vec: str) -> DataFrame:
     """Per category the candidates and the largest distance of one to its nearest slot."""
     return nearest_score(vectors, bank, category, key, vec).groupBy(category).agg(F.count(F.lit(1)).alias("candidate_count"), F.max("score").alias("coverage_radius"))
+
+
+def patch_sample(vectors: DataFrame, category: str, image: str, key: str, per_image: int, most: int, seed: int) -> DataFrame:
+    """``category, image, key``: of each image the ``per_image`` patches of lowest digest, of a category at most ``most`` of these, lowest digest first."""
+    h = digest(F.lit(str(seed)), key, separator=":")
+    own = vectors.select(category, image, key, h.alias("_h"))
+    few = own.withColumn("_r", F.row_number().over(Window.partitionBy(category, image).orderBy("_h", key))).where(F.col("_r") <= per_image)
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy("_h", key))).where(F.col("_r") <= most).select(category, image, key)
+
+
+def memory_statistics(vectors: DataFrame, bank: DataFrame, category: str, key: str, vec: str) -> DataFrame:
+    """Per category the candidates, slots, dimension, bytes of candidates and bank (4 a value), and how far candidates are from their nearest slot."""
+    slots = bank.groupBy(category).agg(F.count(F.lit(1)).alias("selected_count"))
+    near = nearest_score(vectors, bank, category, key, vec).groupBy(category).agg(F.max("score").alias("coverage_radius"), F.avg("score").alias("mean_distance"))
+    own = vectors.groupBy(category).agg(F.count(F.lit(1)).alias("candidate_count"), F.max(F.size(vec)).alias("dimension"))
+    rows = own.join(slots, category).join(near, category)
+    size = 4 * F.col("dimension").cast("long")
+    return rows.withColumns({"raw_candidate_bytes": size * F.col("candidate_count"), "bank_bytes": size * F.col("selected_count")})
+
+
+def write_bank(bank: DataFrame, path: str) -> None:
+    """A bank as a table that appears whole."""
+    sinks.publish(bank, path)
+
+
+def read_bank(spark: SparkSession, path: str, vec: str = "vec") -> DataFrame:
+    """A bank from its table: numeric vectors of one length without nulls or non-finite values, else ContractError."""
+    bank = spark.read.parquet(path)
+    bad = F.col(vec).isNull() | F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if not bank.where(bad).isEmpty() or bank.agg(F.countDistinct(F.size(vec))).first()[0] > 1:
+        raise ContractError("a bank's vectors must be finite and of one length")
+    return bank

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normspark.operators.metrics import correlation, mid_ranks
+from normspark.operators.metrics import correlation, mid_ranks, ranking_metrics
 
 
 def delta_to_clean(df: DataFrame, keys: list[str], condition: str, metrics: list[str], clean: str = "clean") -> DataFrame:
@@ -71,3 +71,16 @@ def family_summary(df: DataFrame, keys: list[str], metrics: list[str], family: s
 def verdict(low: Column, high: Column) -> Column:
     """supported above zero, rejected below, else inconclusive; not_estimable without an interval."""
     return F.when(low.isNull() | high.isNull(), "not_estimable").when(low > 0, "supported").when(high < 0, "rejected").otherwise("inconclusive")
+
+
+def publication(rows: DataFrame, order: dict[str, list | None]) -> DataFrame:
+    """``rows`` of a publication table (a few) with ``place``: by each column in the given order of its values, or (None) in rising order. Other values come last."""
+    by = [F.col(c) if values is None else F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(v) for v in values)), F.col(c)), F.lit(0)), F.lit(len(values) + 1)) for c, values in order.items()]
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*by, *order)))
+
+
+def category_transfer(own: DataFrame, transfer: DataFrame, category: str) -> DataFrame:
+    """Per category AUROC and average precision of scores from other categories' vectors, and their difference to the own bank's scores."""
+    a, b = (ranking_metrics(x, [category]).select(category, "auroc", "average_precision") for x in (transfer, own))
+    b = b.withColumnsRenamed({"auroc": "_a", "average_precision": "_p"})
+    return a.join(b, category).withColumns({"delta_auroc": F.col("auroc") - F.col("_a"), "delta_average_precision": F.col("average_precision") - F.col("_p")}).drop("_a", "_p")

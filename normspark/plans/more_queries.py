@@ -119,11 +119,10 @@ def mask_visibility(s, d):
     return per.groupBy("label").agg(F.count(F.lit(1)).alias("n_images"), F.sum((anomaly & (F.col("mask_pixels") > 0)).cast("long")).alias("n_visible"), F.sum((anomaly & (F.col("mask_pixels") == 0)).cast("long")).alias("n_empty"))
 
 
-@query(_GRID + ", c AS (SELECT image, y // 8 AS cy, x // 8 AS cx, bool_or(mask) AS fine, bool_or(mask AND y % 8 = 0 AND x % 8 = 0) AS coarse FROM pix GROUP BY ALL) SELECT image, bool_or(fine) AND NOT bool_or(coarse) AS lost_mask, count(*) FILTER (fine) AS fine_cells, count(*) FILTER (coarse) AS coarse_cells FROM c GROUP BY image")
+@query(_GRID + ", c AS (SELECT image, y // 8 AS cy, x // 8 AS cx, bool_or(mask) AS fine, bool_or(mask AND y % 8 = 0 AND x % 8 = 0) AS coarse, bool_or(support AND y % 8 = 0 AND x % 8 = 0) AS found FROM pix GROUP BY ALL) SELECT image, bool_or(fine) AND NOT bool_or(coarse) AS lost_mask, count(*) FILTER (fine) AS fine_cells, count(*) FILTER (coarse) AS coarse_cells, round(CASE WHEN bool_or(coarse) THEN count(*) FILTER (coarse AND found)::DOUBLE / count(*) FILTER (coarse OR found) END, 6) AS coarse_iou FROM c GROUP BY image")
 def lost_mask(s, d):
-    on_grid = (F.col("y") % 8 == 0) & (F.col("x") % 8 == 0)
-    cells = _grid(s, d).groupBy("image", F.floor(F.col("y") / 8).alias("cy"), F.floor(F.col("x") / 8).alias("cx")).agg(F.bool_or("mask").alias("fine"), F.bool_or(F.col("mask") & on_grid).alias("coarse"))
-    return cells.groupBy("image").agg((F.bool_or("fine") & ~F.bool_or("coarse")).alias("lost_mask"), F.sum(F.col("fine").cast("long")).alias("fine_cells"), F.sum(F.col("coarse").cast("long")).alias("coarse_cells"))
+    """Whether the mask is lost on a grid of every eighth pixel, and the overlap that is left there."""
+    return grids.lost_mask(_grid(s, d), "image", "mask", "support", 8).withColumn("coarse_iou", F.round("coarse_iou", 6))
 
 
 @query(_GRID + ", a AS (SELECT image, count(*) FILTER (mask) AS area, image % 5 AS grp FROM pix GROUP BY image) SELECT grp, arg_min(image, struct_pack(a := area, i := image)) AS smallest FROM a WHERE area > 0 GROUP BY grp")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from normspark.plans import data_queries, drift_queries, more_queries, study_queries
+from normspark.plans import data_queries, drift_queries, more_queries, report_queries, study_queries
 
-MODULES = [study_queries, data_queries, more_queries, drift_queries]
+MODULES = [study_queries, data_queries, more_queries, report_queries, drift_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -50,6 +51,45 @@ def canonical_rows(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_lines(df: DataFrame, path: str, order: list[str]) -> str:
+    """One line file of canonical rows under ``path``, whole or not at all; returns its SHA-256. For tables that one task may write (a manifest)."""
+    spark = df.sparkSession
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    canonical_rows(df, order).coalesce(1).write.text(staging)
+    fs, folder = _fs(spark, staging)
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    target = _fs(spark, path)[1]
+    if fs.exists(target):
+        quarantine(spark, path)
+    if not fs.rename(part, target):
+        raise OSError(f"could not rename {part} to {path}")
+    fs.delete(folder, True)
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
+def write_json(spark: SparkSession, value: dict, path: str, exclusive: bool = False) -> None:
+    """A small JSON document (sorted keys) under ``path``, whole or not at all; refused if it exists and ``exclusive``."""
+    fs, target = _fs(spark, path)
+    staging = _fs(spark, f"{path}.staging-{uuid.uuid4().hex}")[1]
+    stream = fs.create(staging, False)
+    stream.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False, indent=2).encode()))
+    stream.hsync()
+    stream.close()
+    if exclusive:
+        try:
+            fs.create(_fs(spark, f"{path}.claim")[1], False).close()
+        except Py4JJavaError as e:
+            fs.delete(staging, False)
+            raise FileExistsError(path) from e
+    if fs.exists(target):
+        if exclusive:
+            fs.delete(staging, False)
+            raise FileExistsError(path)
+        fs.delete(target, False)
+    if not fs.rename(staging, target):
+        raise OSError(f"could not rename to {path}")
+
+
 def union_tables(tables: list[DataFrame]) -> DataFrame:
     """All rows over the sorted union of the tables' columns, null where a table has none."""
     if not tables:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +91,56 @@ def broken_commits(commits: DataFrame, digests: DataFrame) -> DataFrame:
     """Commits (``path, sha256``) whose file is missing or has changed."""
     now = digests.select("path", F.col("sha256").alias("_now"))
     return commits.join(now, "path", "left").where("_now IS NULL OR _now <> sha256").drop("_now")
+
+
+#: Rows of a study's table, at most.
+MOST_CAPTURES = 500
+
+
+def read_study_table(spark: SparkSession, path: str, fields: list[str], most: int = MOST_CAPTURES) -> DataFrame:
+    """A hand-kept CSV with exactly the header ``fields``: trimmed strings, at most ``most`` rows, no row with missing or further values."""
+    lines = [r.value for r in spark.read.text(path).coalesce(1).limit(most + 2).collect()]  # a table longer than that is refused
+    rows = list(csv.reader([line.lstrip("\ufeff") if not i else line for i, line in enumerate(lines)]))
+    if not rows or rows[0] != fields:
+        raise ContractError(f"unexpected columns in {path}")
+    if len(rows) > most + 1:
+        raise ContractError(f"more than {most} rows in {path}")
+    if any(len(r) != len(fields) for r in rows[1:]):
+        raise ContractError(f"malformed rows in {path}")
+    return spark.createDataFrame([tuple(v.strip() for v in r) for r in rows[1:]], ", ".join(f"`{f}` string" for f in fields))
+
+
+def inventory(spark: SparkSession, path: str, folders: dict[str, str]) -> DataFrame:
+    """``category, kind, image_path`` of the files below a provider's folder, kind by the folder in the path (name -> kind)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    own = F.regexp_extract("path", r"/([^/]+)/Data/(.+)$", 1)
+    inner = F.regexp_extract("path", r"/([^/]+)/Data/(.+)$", 2)
+    kind = F.lit(None).cast("string")
+    for folder, name in folders.items():
+        kind = F.when(F.startswith(inner, F.lit(f"{folder}/")), name).otherwise(kind)
+    return files.select(own.alias("category"), kind.alias("kind"), F.concat_ws("/", own, F.lit("Data"), inner).alias("image_path")).where("category <> '' AND kind IS NOT NULL")
+
+
+def paired_masks(files: DataFrame, path: str, suffix: str = "_GT") -> DataFrame:
+    """``image, mask`` of files whose mask has the image's name with ``suffix``; images without a mask have null, masks without an image are a ContractError."""
+    stem, end = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"(\.[^./]*)?$", 1)
+    named = files.select(F.col(path).alias("_p"), F.regexp_replace(stem, f"{suffix}$", "").alias("_s"), F.endswith(stem, F.lit(suffix)).alias("_m"), end.alias("_e"))
+    images, masks = named.where("NOT _m").select("_s", F.col("_p").alias("image")), named.where("_m").select("_s", F.col("_p").alias("mask"))
+    require_empty(masks.join(images, "_s", "left_anti").select("mask"), "masks without an image")
+    return images.join(masks, "_s", "left").select("image", "mask")
+
+
+def require_strata(rows: DataFrame, keys: list[str], strata: list[tuple]) -> DataFrame:
+    """The rows of the given strata; one without rows is a ContractError."""
+    wanted = rows.sparkSession.createDataFrame(strata, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys))
+    require_empty(wanted.join(rows, keys, "left_anti"), "strata without rows")
+    return rows.join(F.broadcast(wanted), keys, "left_semi")  # the literal strata of a call
+
+
+def value_problems(rows: DataFrame, finite: list[str], binary: list[str]) -> DataFrame:
+    """``column, problem, n_rows``: nulls, NaN and infinities of the columns that must be finite, other values than 0 and 1 of the binary ones."""
+    checks = {(c, "null"): F.col(c).isNull() for c in [*finite, *binary]}
+    checks |= {(c, "not_finite"): F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in finite}
+    checks |= {(c, "not_binary"): ~F.col(c).isin(0, 1) for c in binary}
+    found = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(c).alias("column"), F.lit(p).alias("problem"))) for (c, p), bad in checks.items())))
+    return rows.select(F.explode(found).alias("e")).groupBy("e.column", "e.problem").agg(F.count(F.lit(1)).alias("n_rows"))
