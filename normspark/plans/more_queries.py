@@ -178,11 +178,11 @@ def audit_minimums(s, d):
 
 @query(study.SQL + """
 , u AS (SELECT model, condition, recall AS v, row_number() OVER (PARTITION BY model, condition ORDER BY category) - 1 AS i, count(*) OVER (PARTITION BY model, condition) AS n FROM operating),
-dr AS (SELECT model, condition, r, n, CAST('0x' || substr(sha256('9:' || r || ':' || i), 1, 8) AS BIGINT) % n AS j FROM u CROSS JOIN range(200) t(r)),
+dr AS (SELECT model, condition, r, n, CAST('0x' || substr(sha256('9:' || r || ':' || i), 1, 8) AS BIGINT) % n AS j FROM u CROSS JOIN range(1000) t(r)),
 mm AS (SELECT d.model, d.condition, d.r, avg(u.v) AS m FROM dr d JOIN u ON d.model = u.model AND d.condition = u.condition AND d.j = u.i GROUP BY ALL)
 SELECT model, condition, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM mm GROUP BY ALL""")
 def bootstrap_hash(s, d):
-    return rounded(resampling.hashed_mean(_operating(s, d), ["model", "condition"], "category", "recall", 9, 200), ["ci_low", "ci_high"])
+    return rounded(resampling.hashed_mean(_operating(s, d), ["model", "condition"], "category", "recall", 9, 1000), ["ci_low", "ci_high"])
 
 
 @query()
@@ -193,30 +193,30 @@ def bootstrap_mean(s, d):
 @query()
 def bootstrap_ranking(s, d):
     rows = study.predictions(s, d).where("condition = 'clean'")
-    return resampling.bootstrap_ranking(rows, ["model", "category"], "sample_id", 7, 100)
+    return resampling.bootstrap_ranking(rows, ["model", "category"], "sample_id", 7, 1000)
 
 
 @query()
 def bootstrap_paired_ranking(s, d):
     rows = robustness.with_clean(study.predictions(s, d), ["model", "category", "sample_id"], "condition", ["score"])
-    return resampling.bootstrap_paired_ranking(rows, ["model", "category", "condition"], "sample_id", "clean_score", "score", 7, 50)
+    return resampling.bootstrap_paired_ranking(rows, ["model", "category", "condition"], "sample_id", "clean_score", "score", 7, 500)
 
 
 @query()
 def bootstrap_paired_ratio(s, d):
     rows = robustness.with_clean(study.predictions(s, d), ["model", "category", "sample_id"], "condition", ["predicted"]).withColumn("normal", 1 - F.col("target"))
     rows = rows.withColumns({"a": F.col("normal") * F.col("clean_predicted"), "b": F.col("normal") * F.col("predicted")})
-    return resampling.bootstrap_paired_ratio(rows, ["model", "category", "condition"], "sample_id", ("a", "normal"), ("b", "normal"), 7, 200)
+    return resampling.bootstrap_paired_ratio(rows, ["model", "category", "condition"], "sample_id", ("a", "normal"), ("b", "normal"), 7, 1000)
 
 
 @query()
 def bootstrap_two_sample(s, d):
-    return resampling.bootstrap_two_sample(study.predictions(s, d), ["model", "condition"], "predicted", "score", "sample_id", 7, 100)
+    return resampling.bootstrap_two_sample(study.predictions(s, d), ["model", "condition"], "predicted", "score", "sample_id", 7, 1000)
 
 
 @query()
 def bootstrap_poisson(s, d):
-    return resampling.poisson_mean(study.predictions(s, d), ["model", "condition"], "sample_id", "score", 7, 100)
+    return resampling.poisson_mean(study.predictions(s, d), ["model", "condition"], "sample_id", "score", 7, 500)
 
 
 @query()
