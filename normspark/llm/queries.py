@@ -86,7 +86,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which less than half stands in running sentences."""
-    return text_quality.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")).where("not_prose").select("doc_id")
+    return text_quality.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")).where("not_prose").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
