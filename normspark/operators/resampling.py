@@ -2,7 +2,8 @@
 
 The numpy forms draw with PCG64 over units in a given order, so intervals are reproducible to the bit;
 a group is one task, so its rows are bounded by ``MOST_UNITS`` (units are categories or the images of one
-category and condition). ``poisson_mean`` has no such bound: each row gets its weight in every resample from a
+category and condition). ``bootstrap_two_sample`` draws a larger group in blocks, as many tasks as there are
+blocks. ``poisson_mean`` has no bound either: each row gets its weight in every resample from a
 hash of its id, partial sums are formed in the map tasks, and only one row a group and task is shuffled.
 """
 
@@ -12,12 +13,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normspark.session import broadcast_if_small, cut
+
 MOST_UNITS = 2_000_000
 #: Draws that are held at once.
 BLOCK = 4_000_000
+#: Units of a block of a larger group, about; the finest blocks of a side; draws at once that stay in a core's cache.
+BLOCK_UNITS, FINEST, DRAWS = 1 << 16, 4_096, 1 << 14
 
 
 def _blocks(samples: int, units: int) -> Iterator[int]:
@@ -152,7 +157,11 @@ def bootstrap_paired_ratio(df: DataFrame, keys: list[str], order: str, old: tupl
 
 
 def bootstrap_two_sample(df: DataFrame, keys: list[str], group: str, value: str, order: str, seed: int, samples: int = 500, confidence: float = 0.95) -> DataFrame:
-    """Interval of mean(value where group) - mean(value where not), the two samples drawn independently."""
+    """Interval of mean(value where group) - mean(value where not), the two samples drawn independently.
+
+    ``group``: a boolean or a number. Groups of more than ``MOST_UNITS`` rows are drawn in blocks (``_two_sample_in_blocks``).
+    """
+    schema = "difference double, ci_low double, ci_high double"
 
     def run(pdf: pd.DataFrame) -> dict:
         pdf = pdf.dropna(subset=[group, value]).sort_values(order)
@@ -164,7 +173,79 @@ def bootstrap_two_sample(df: DataFrame, keys: list[str], group: str, value: str,
         low, high = interval(values, confidence)
         return {"difference": float(a.mean() - b.mean()), "ci_low": low, "ci_high": high}
 
-    return _grouped(df, keys, run, "difference double, ci_low double, ci_high double")
+    rows = df.select(*keys, group, value, order)
+    side, x = F.col(group), F.col(value).cast("double")
+    usable = side.isNotNull() & ~F.isnan(side.cast("double")) & x.isNotNull() & ~F.isnan(x)
+    sided = rows.select(*keys, F.when(usable, side.cast("boolean")).alias("_side"), x.alias("_x"), F.col(order).alias("_order"), F.pmod(F.xxhash64(order, x), F.lit(FINEST)).cast("int").alias("_fine"))
+    counts = cut(sided.groupBy(*keys, "_side", "_fine").agg(F.count(F.lit(1)).alias("_n")))  # at most 3 * FINEST rows a group
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    large = sizes.where(F.col("_all") > MOST_UNITS)
+    if large.isEmpty():
+        return _grouped(rows, keys, run, schema)
+    drawn = _two_sample_in_blocks(sided, keys, counts, large, seed, samples, confidence, schema)
+    if sizes.where(F.col("_all") <= MOST_UNITS).isEmpty():
+        return drawn
+    named, same = _own_keys(large, keys)
+    return drawn.unionByName(_grouped(rows.join(broadcast_if_small(named), same, "left_anti"), keys, run, schema))
+
+
+def _own_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``df`` with its keys under other names, and the condition that joins it; null keys are a group, too."""
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_own_{k}"))
+    return df.withColumnsRenamed({k: f"_own_{k}" for k in keys}), same
+
+
+def _two_sample_in_blocks(sided: DataFrame, keys: list[str], counts: DataFrame, large: DataFrame, seed: int, samples: int, confidence: float, schema: str) -> DataFrame:
+    """``bootstrap_two_sample`` of the groups ``large``: every unit and resample, with a stream of draws a block.
+
+    A sample of n units with replacement takes a multinomial number of them from each block of a side and, in a block, that many
+    units with replacement. A block is the units of some hashes, in their order, so the result doesn't depend on partitions.
+    """
+    kinds = dict(sided.dtypes)
+    typed = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    named, same = _own_keys(large, keys)
+    fine = counts.where("_side IS NOT NULL").join(broadcast_if_small(named), same, "left_semi")
+    blocks = F.least(F.lit(FINEST), F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.sum("_n") / BLOCK_UNITS))))).cast("int")
+    layout = fine.groupBy(*keys, "_side").agg(blocks.alias("_blocks"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        own, alike = _own_keys(layout.withColumnRenamed("_side", "_own_side"), keys)
+        joined = rows.where("_side IS NOT NULL").join(broadcast_if_small(own), alike & (F.col("_side") == F.col("_own_side")))
+        return joined.withColumn("_block", F.col("_fine") % F.col("_blocks"))
+
+    def allot(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """How many units each resample takes from each block of a side."""
+        pdf = pdf.sort_values("_block")
+        n = pdf["_n"].to_numpy(np.int64)
+        taken = np.random.default_rng([seed, 1, int(key[-1])]).multinomial(n.sum(), n / n.sum(), samples)
+        return pdf[[*keys, "_side", "_block"]].assign(_taken=list(taken.T))
+
+    def draw(rows: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        side, block = (int(taken[c].iloc[0]) for c in ("_side", "_block"))
+        x = rows.sort_values(["_order", "_x"])["_x"].to_numpy(np.float64)
+        rng = np.random.default_rng([seed, 2, side, block])
+        sums = np.array([sum(x[rng.integers(0, len(x), min(DRAWS, n - i))].sum() for i in range(0, n, DRAWS)) for n in taken["_taken"].iloc[0]], np.float64)
+        return taken[[*keys, "_side", "_block"]].assign(_n=len(x), _sum=x.sum(), _sums=[sums])
+
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over the blocks of each side, at most ``FINEST`` of them."""
+        own = [pdf[pdf["_side"] == side].sort_values("_block") for side in (True, False)]
+        out = {"difference": None, "ci_low": None, "ci_high": None}
+        if all(map(len, own)):
+            (a, a_mean), (b, b_mean) = ((np.stack(p["_sums"].to_list()).sum(0) / p["_n"].sum(), p["_sum"].sum() / p["_n"].sum()) for p in own)
+            low, high = interval(a - b, confidence)
+            out = {"difference": float(a_mean - b_mean), "ci_low": low, "ci_high": high}
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | out])
+
+    cells = [*keys, "_side", "_block"]
+    allotted = in_blocks(fine).groupBy(*cells).agg(F.sum("_n").alias("_n")).groupBy(*keys, "_side").applyInPandas(allot, typed + "_side boolean, _block int, _taken array<long>")
+    sums = in_blocks(sided).select(*cells, "_order", "_x").groupBy(*cells).cogroup(allotted.groupBy(*cells)).applyInPandas(draw, typed + "_side boolean, _block int, _n long, _sum double, _sums array<double>")
+    found = sums.groupBy(*keys).applyInPandas(combine, typed + schema)
+    # groups without a usable unit have no block
+    gone, alike = _own_keys(fine.select(*keys).distinct(), keys)
+    return found.unionByName(large.join(gone, alike, "left_anti").select(*keys, *(F.lit(None).cast("double").alias(c.split()[0]) for c in schema.split(", "))))
 
 
 def poisson_mean(df: DataFrame, keys: list[str], key: str, value: str, seed: int, samples: int = 200, confidence: float = 0.95) -> DataFrame:

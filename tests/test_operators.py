@@ -234,6 +234,27 @@ def test_bootstrap(spark):
     assert p == q and p.ci_low < 14.5 < p.ci_high
 
 
+def test_two_sample_of_a_group_beyond_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("k" if i % 3 else None, i, i % 2, float(rng.exponential(5)) + i % 2) for i in range(900)]
+    rows += [("k", 1000, 1, None), ("k", 1001, None, 9e9), ("k", 1002, 0, float("nan")), ("small", 1, 1, 4.0), ("small", 2, 0, 1.0)]
+    rows += [("none", i, 1, None) for i in range(200)] + [("one", i, 1, 2.0) for i in range(200)] + [("flat", i, i % 2, 3.0 + i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, id int, g int, x double")
+    want = {r.k: r for r in resampling.bootstrap_two_sample(df, ["k"], "g", "x", "id", 5, 400).collect()}
+    monkeypatch.setattr(resampling, "MOST_UNITS", 100)
+    monkeypatch.setattr(resampling, "BLOCK_UNITS", 64)
+    monkeypatch.setattr(resampling, "DRAWS", 50)
+    got = {r.k: r for r in resampling.bootstrap_two_sample(df, ["k"], "g", "x", "id", 5, 400).collect()}
+    again = {r.k: r for r in resampling.bootstrap_two_sample(df.repartition(5, "x"), ["k"], "g", "x", "id", 5, 400).collect()}
+    assert got == again and got.keys() == want.keys() == {"k", None, "small", "none", "one", "flat"}
+    assert got["small"] == want["small"] and got["none"].difference is None and got["one"].ci_low is None
+    assert (got["flat"].ci_low, got["flat"].ci_high) == pytest.approx((1.0, 1.0))
+    for k in ("k", None):
+        assert got[k].difference == pytest.approx(want[k].difference)
+        width = want[k].ci_high - want[k].ci_low
+        assert abs(got[k].ci_low - want[k].ci_low) < 0.12 * width and abs(got[k].ci_high - want[k].ci_high) < 0.12 * width
+
+
 def test_mean_interval_draws_one_matrix_of_units():
     x = np.array([0.1, 0.4, 0.2, 0.9])
     means = np.random.default_rng(7).choice(x, (50, 4), replace=True).mean(1)
