@@ -14,14 +14,13 @@ Tails are put together to one score in two steps, without labels:
    ``tail_score``: below 0 a document lies in the tails.
 2. **Words.** Documents well inside (``tail_score`` above ``SURE``) and well in the tails teach the same log ratio for pairs
    of neighbouring tokens (words, numbers, marks, line ends), hashed into ``BUCKETS``; after each of
-   ``ROUNDS`` rounds the documents are told apart anew. This model is fitted on the ``SAMPLE`` documents of lowest hash,
-   about (a bounded sample); sketches, weights of the steps and results cover all documents.
+   ``ROUNDS`` rounds the documents are told apart anew. Like sketches and weights of the steps it is fitted on all documents.
 
 ``sentence_share`` is the share of non-blank characters around which the pairs' mean weight over
 ``WINDOW`` tokens and the document's ``tail_score`` speak for running text; a document below ``LEAST_SHARE`` is flagged (``not_prose``).
 
-Passes over the texts: one for the sketches, one over the sample, one for the result. All of it is numpy over
-the code points of a batch. A language with fewer than ``LEAST_DOCUMENTS`` takes the sketches of the whole corpus.
+The texts are read once: statistics and pairs of a document are kept as a row (four bytes a token), and sketches, rounds and the
+result go over these. All of it is numpy over the code points of a batch. A language with fewer than ``LEAST_DOCUMENTS`` takes the sketches of the whole corpus.
 
 Defined results: null and blank texts have 0 words, null statistics, and are never flagged. Language
 notations (case, region) are brought together; a null language is ``und``. Whole texts are read.
@@ -35,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +54,10 @@ STEPS, MOST_WEIGHT = 20, 3.0
 PART = 1 << 17
 #: A language's own sketches need so many documents.
 LEAST_DOCUMENTS = 50
-#: The pair model: documents it is fitted on, about; hash buckets; rounds; sure tail scores; tokens of a window; weight of the tail score.
-SAMPLE, BUCKETS, ROUNDS, SURE, WINDOW, TAIL_WEIGHT = 20_000, 1 << 18, 4, 0.2, 9, 0.25
+#: The pair model: hash buckets; rounds; sure tail scores; tokens of a window; weight of the tail score.
+BUCKETS, ROUNDS, SURE, WINDOW, TAIL_WEIGHT = 1 << 18, 4, 0.2, 9, 0.25
+#: A kept token is its bucket, whether its pair is the document's first of that bucket, and its size; the sizes from this one on are kept apart.
+FIRST, SIZE, LONG = BUCKETS, 19, (1 << 12) - 1
 
 STATISTICS = [
     "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share", "words_per_line",
@@ -333,22 +335,62 @@ def _values(columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c, pa.float64(), from_pandas=True) for c in columns.T]
 
 
-def _measure(common: np.ndarray):
+def _measure(common: np.ndarray, pairs: bool):
+    """Statistics of each document, on demand with its tokens."""
+    names = ["doc_id", "language", "n_words", *STATISTICS, *(["tokens", "long_sizes"] if pairs else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches):
-            n_words, values = Batch(texts).statistics(common)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), pa.array(n_words, pa.int64()), *_values(values)], ["doc_id", "language", "n_words", *STATISTICS])
+            batch = Batch(texts)
+            n_words, values = batch.statistics(common)
+            kept = _kept(batch) if pairs else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), pa.array(n_words, pa.int64()), *_values(values), *kept], names)
 
     return run
 
 
+def _kept(batch: Batch) -> list[pa.Array]:
+    """The tokens of each document as 32-bit numbers, and the sizes that don't fit into them, in order."""
+    bucket, doc, size = batch.pairs()
+    _, at = np.unique(doc.astype(np.int64) * BUCKETS + bucket, return_index=True)
+    first = np.zeros(len(bucket), np.int64)
+    first[at] = FIRST
+    words = (bucket | first | np.minimum(size, LONG).astype(np.int64) << SIZE).astype(np.int32)
+    bounds, long = np.arange(batch.n + 1), size >= LONG
+    tokens = pa.Array.from_buffers(pa.binary(), batch.n, [None, pa.py_buffer((4 * np.searchsorted(doc, bounds)).astype(np.int32)), pa.py_buffer(words)])
+    return [tokens, pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[long], bounds), pa.int32()), pa.array(size[long], pa.int32()))]
+
+
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of up to ``PART`` tokens at once (one longer document is whole): the documents, and for each token its bucket, its document among these, its size, whether it is first."""
+    column = batch.column("tokens")
+    ends = np.cumsum(np.asarray(pc.binary_length(column)) // 4) if batch.num_rows else np.empty(0, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + PART, "right")))
+        words = np.frombuffer(b"".join(column.slice(start, stop - start).to_pylist()), np.int32)
+        size = words >> SIZE
+        long = np.flatnonzero(size == LONG)
+        if len(long):
+            size = size.copy()
+            size[long] = np.asarray(batch.column("long_sizes").slice(start, stop - start).flatten())
+        yield slice(start, stop), (words & (BUCKETS - 1)).astype(np.int64), np.repeat(np.arange(stop - start), np.diff(ends[start:stop], prepend=base)), size, words & FIRST != 0
+        start = stop
+
+
+def _statistics(batch: pa.RecordBatch) -> np.ndarray:
+    """The columns of ``STATISTICS`` as rows; NaN where undefined."""
+    return np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], 1).astype(np.float64) if batch.num_rows else np.empty((0, len(STATISTICS)))
+
+
 def _count_steps(scale):
     """For each statistic and step the prose and junk seeds that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(STATISTICS), STEPS + 1), np.int64)
         for batch in batches:
-            values = np.stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS], 1).astype(np.float64) if batch.num_rows else np.empty((0, len(STATISTICS)))
+            values = _statistics(batch)
             steps, z = scale.value.steps_and_z(batch.column("language").to_pylist(), values)
             for c, own in enumerate(seeds(values, z)):
                 for j in range(len(STATISTICS)):
@@ -360,41 +402,25 @@ def _count_steps(scale):
     return run
 
 
-def _tokens(common: np.ndarray, scale):
-    """Tail score and the pairs of each document of the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _parts(batches):
-            batch = Batch(texts)
-            steps, _ = scale.value.steps_and_z(part.column("language").to_pylist(), batch.statistics(common)[1])
-            bucket, doc, size = batch.pairs()
-            offsets = pa.array(np.searchsorted(doc, np.arange(batch.n + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(scale.value.tail_score(steps)), pa.ListArray.from_arrays(offsets, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(size, pa.int32()))], ["tail_score", "pairs", "sizes"]
-            )
-
-    return run
-
-
-def _teach(weights):
+def _teach(scale, weights):
     """Documents of either kind in which a pair stands; the kinds by the weights so far, or else by the tail score alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            tail = batch.column("tail_score").to_numpy(zero_copy_only=False)
-            lists = batch.column("pairs")
-            bucket, doc = np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            if weights is None:
-                prose, junk = tail > SURE, tail < -SURE
-            else:
-                good = window_share(weights.value[bucket], doc, np.asarray(batch.column("sizes").flatten()), TAIL_WEIGHT * tail)
-                with np.errstate(invalid="ignore"):
-                    prose, junk = (good >= LEAST_SHARE) & (tail > -SURE), (good < LEAST_SHARE) & (tail < SURE)
-            once = np.unique(doc * BUCKETS + bucket)
-            for c, own in enumerate((prose, junk)):
-                total[c] += np.bincount((once % BUCKETS)[own[once // BUCKETS]], minlength=BUCKETS)
-                n[c] += own.sum()
+            tails = scale.value.tail_score(scale.value.steps_and_z(batch.column("language").to_pylist(), _statistics(batch))[0])
+            for own, bucket, doc, size, first in _tokens(batch):
+                tail = tails[own]
+                if weights is None:
+                    prose, junk = tail > SURE, tail < -SURE
+                else:
+                    good = window_share(weights.value[bucket], doc, size, TAIL_WEIGHT * tail)
+                    with np.errstate(invalid="ignore"):
+                        prose, junk = (good >= LEAST_SHARE) & (tail > -SURE), (good < LEAST_SHARE) & (tail < SURE)
+                once, in_doc = bucket[first], doc[first]
+                for c, kind in enumerate((prose, junk)):
+                    total[c] += np.bincount(once[kind[in_doc]], minlength=BUCKETS)
+                    n[c] += kind.sum()
         c, at = np.nonzero(total)
         keys, counts = np.concatenate([c * BUCKETS + at, [-1, -2]]), np.concatenate([total[c, at], n])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
@@ -402,24 +428,22 @@ def _teach(weights):
     return run
 
 
-def _judge(common: np.ndarray, scale, weights, whole: bool):
+def _judge(scale, weights, whole: bool):
     """Statistics, steps, scores and shares of each document; not ``whole``: only what the flag needs."""
     names = ["doc_id", "language", "n_words", *STATISTICS, *(f"{s}_pct" for s in STATISTICS), *(f"{s}_z" for s in STATISTICS), "tail_score", "sentence_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _parts(batches):
-            batch = Batch(texts)
-            n_words, values = batch.statistics(common)
-            steps, z = scale.value.steps_and_z(part.column("language").to_pylist(), values)
+        for batch in batches:
+            values = _statistics(batch)
+            steps, z = scale.value.steps_and_z(batch.column("language").to_pylist(), values)
             tail = scale.value.tail_score(steps)
-            bucket, doc, size = batch.pairs()
-            share = window_share(weights.value[bucket], doc, size, TAIL_WEIGHT * tail)
+            share = np.concatenate([np.empty(0), *(window_share(weights.value[bucket], doc, size, TAIL_WEIGHT * tail[own]) for own, bucket, doc, size, _ in _tokens(batch))])
             if not whole:
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_values(share[:, None])], ["doc_id", "sentence_share"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_values(share[:, None])], ["doc_id", "sentence_share"])
                 continue
             tail = np.where(np.isnan(share), np.nan, tail)
             percent = np.where(steps < 0, np.nan, steps / STEPS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), pa.array(n_words, pa.int64()), *_values(values), *_values(percent), *_values(z), *_values(np.stack([tail, share], 1))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("language"), batch.column("n_words"), *_values(values), *_values(percent), *_values(z), *_values(np.stack([tail, share], 1))], names)
 
     return run
 
@@ -437,9 +461,13 @@ def _texts(documents: DataFrame) -> DataFrame:
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), language().alias("language"), F.col("text").cast("string").alias("text")))
 
 
+#: Columns of the measured documents.
+MEASURED = "doc_id long, language string, n_words long, " + ", ".join(f"{s} double" for s in STATISTICS)
+
+
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id, language, n_words`` and the ``STATISTICS`` (doubles) of every document."""
-    return _texts(documents).mapInArrow(_measure(_common(common_words)), "doc_id long, language string, n_words long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return _texts(documents).mapInArrow(_measure(_common(common_words), False), MEASURED)
 
 
 def language_sketches(measured: DataFrame) -> DataFrame:
@@ -494,8 +522,8 @@ def profile(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 def _judged(documents: DataFrame, common_words: DataFrame, whole: bool) -> DataFrame:
     """Sketches, weights of the steps and the pair model, and each document judged by them."""
     context = documents.sparkSession.sparkContext
-    common = _common(common_words)
-    measured = cut(document_statistics(documents, common_words).where("n_words > 0 OR symbol_ratio IS NOT NULL").drop("n_words"))
+    read = cut(_texts(documents).mapInArrow(_measure(_common(common_words), True), MEASURED + ", tokens binary, long_sizes array<int>"))
+    measured = read.where("n_words > 0 OR symbol_ratio IS NOT NULL").select("language", *STATISTICS)
     grids = percentile_grids(cut(language_sketches(measured)))
     # at most as many rows as statistics, steps and kinds
     seen = np.full((2, len(STATISTICS), STEPS + 1), 0, np.int64)
@@ -504,20 +532,16 @@ def _judged(documents: DataFrame, common_words: DataFrame, whole: bool) -> DataF
     weights = np.stack([log_ratios(p, q, p.sum() + STEPS - 1, q.sum() + STEPS - 1, 1.0) for p, q in zip(*seen, strict=True)])
     scale = context.broadcast(Scale(grids, weights))
 
-    texts = _texts(documents)
-    total = documents.count()
-    known = texts.where("text IS NOT NULL")
-    sample = known if total <= SAMPLE else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < SAMPLE * 1_000_000 // total)
-    taught = cut(sample.mapInArrow(_tokens(common, scale), "tail_score double, pairs array<int>, sizes array<int>"))
+    taught = read.select("language", *STATISTICS, "tokens", "long_sizes")
     pair_weights = None
     for _ in range(ROUNDS):
-        rows = taught.mapInArrow(_teach(pair_weights), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * BUCKETS + 2 rows
+        rows = taught.mapInArrow(_teach(scale, pair_weights), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * BUCKETS + 2 rows
         keys, counts = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "n"))
         both, n = np.zeros(2 * BUCKETS), {int(k): float(v) for k, v in zip(keys[keys < 0], counts[keys < 0], strict=True)}
         both[keys[keys >= 0]] = counts[keys >= 0]
         pair_weights = context.broadcast(log_ratios(both[:BUCKETS], both[BUCKETS:], n.get(-1, 0.0), n.get(-2, 0.0), 0.5))
 
     if not whole:
-        return texts.mapInArrow(_judge(common, scale, pair_weights, False), "doc_id long, sentence_share double")
+        return read.select("doc_id", "language", *STATISTICS, "tokens", "long_sizes").mapInArrow(_judge(scale, pair_weights, False), "doc_id long, sentence_share double")
     doubles = [*STATISTICS, *(f"{s}_pct" for s in STATISTICS), *(f"{s}_z" for s in STATISTICS), "tail_score", "sentence_share"]
-    return texts.mapInArrow(_judge(common, scale, pair_weights, True), "doc_id long, language string, n_words long, " + ", ".join(f"{c} double" for c in doubles))
+    return read.mapInArrow(_judge(scale, pair_weights, True), "doc_id long, language string, n_words long, " + ", ".join(f"{c} double" for c in doubles))

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +316,36 @@ def test_quality_flags_lists_tables_and_scrambles_but_not_prose(spark):
         assert (r.n_words, r.common_share, r.sentence_share, r.not_prose, r.language) == (0, None, None, False, "en")
 
 
+def test_quality_is_taught_by_all_documents(spark, monkeypatch):
+    seen, ratios = [], text_quality.log_ratios
+
+    def counted(prose, junk, n_prose, n_junk, smooth):
+        if smooth == 0.5:  # the pair model, one call a round
+            seen.append((n_prose, n_junk))
+        return ratios(prose, junk, n_prose, n_junk, smooth)
+
+    monkeypatch.setattr(text_quality, "log_ratios", counted)
+    monkeypatch.setattr(text_quality, "SAMPLE", 100, raising=False)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    flags = text_quality.flagged(docs, table(spark, "/root/testdata/sf0.01", "common_words")).where("sentence_share IS NOT NULL").count()
+    assert len(seen) == text_quality.ROUNDS and sum(seen[-1]) > 0.8 * flags
+
+
+def test_tokens_are_kept_whole():
+    """Long tokens, blank texts, and documents that are cut apart from their batch give the arrays they were made of."""
+    texts = ["x" * 30 + " " + "7" * 5_000 + " a b a b", "", "one two. " * 40, "9" * 4_095 + " " + "9" * 4_094]
+    batch = text_quality.Batch(texts)
+    bucket, doc, size = batch.pairs()
+    tokens, long = text_quality._kept(batch)
+    kept = pa.RecordBatch.from_arrays([tokens, long], ["tokens", "long_sizes"])
+    for part in (1, 1 << 17):
+        parts = list(text_quality._tokens(kept)) if part > 1 else [p for i in range(4) for p in text_quality._tokens(kept.slice(i, 1))]
+        assert np.concatenate([p[1] for p in parts]).tolist() == bucket.tolist() and np.concatenate([p[3] for p in parts]).tolist() == size.tolist()
+        first = np.concatenate([p[4] for p in parts])
+        assert len(set(zip(doc.tolist(), bucket.tolist(), strict=True))) == first.sum() == len({(d, b) for d, b in zip(doc[first].tolist(), bucket[first].tolist(), strict=True)})
+    assert np.array_equal(parts[0][2], doc) and parts[0][0] == slice(0, 4)
+
+
 def test_quality_of_an_empty_and_of_a_tiny_corpus(spark):
     words = spark.createDataFrame([("en", "the")], "lang string, word string")
     docs = spark.createDataFrame([(1, None, None), (1, PROSE, None), (None, PROSE, "de_AT")], "doc_id long, text string, lang string")
