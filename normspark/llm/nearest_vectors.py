@@ -15,7 +15,8 @@ collides, and all are verified, as one matrix product for all queries of the cel
 is stored under its most extreme line only, and the query looks under the share ``WIDE`` of the lines on which it lies
 farthest out. Its work is that share of the vectors, not a constant: neighbours hardly nearer than chance can't be
 found by much less at the recall that is asked for (README has the measurement). Only improvements on what the first
-windows found leave a cell. With ``share=1`` the result is exact, at the price of a comparison with every vector.
+windows found leave a cell. Up to ``SENT`` numbers of such queries are sent to the tasks that read the vectors, which compare
+the same pairs, so the vectors aren't shuffled again; more queries are shuffled with the vectors by line. With ``share=1`` the result is exact, at the price of a comparison with every vector.
 
 Partitions: the number of lines grows with the number of vectors, so that a cell holds about
 ``CELL_ROWS``. Beyond ``FIRST_LINES`` a cell is a line of a first set and one of a second set: a
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normspark.session import broadcast_if_small, cut, require
+from normspark.session import broadcast_if_small, cut, require, small, spread
 
 #: Fixed seed of the lines; the index is the same in every run.
 SEED = 20250117
@@ -61,6 +62,8 @@ WIDE = 0.5
 WIDTH_FACTOR = 1.2
 #: Query ids that are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Numbers of the vectors of unsettled queries that are sent to the tasks at most (16 MB).
+SENT = 1 << 22
 
 
 def _lines(dimension: int, count: int, salt: int) -> np.ndarray:
@@ -323,6 +326,56 @@ def _search(dimension: int, k: int, wide: bool):
     return run
 
 
+def _search_sent(layout: _Layout, k: int, share: float, sent):
+    """The last rehashing over vectors as they are read: the best ``k`` in a task of each query that was sent.
+
+    A vector is compared with the queries that look under its most extreme line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, floors, asked = sent.value
+        floors, best = floors.copy(), _Best(queries, k)
+        a = _lines(layout.dimension, layout.first // 2, 1)
+        looks = []
+        for i in range(0, len(asked), 1_024):
+            lines = extreme_lines(asked[i : i + 1_024], a, max(PROBE, round(share * layout.first)))
+            own = np.zeros((len(lines), layout.first), bool)
+            np.put_along_axis(own, lines, True, 1)
+            looks.append(np.packbits(own, axis=1))
+        for batch in batches:
+            places, x = unit_vectors(batch.column("vec"), layout.dimension)
+            if not len(x):
+                continue
+            ids, line = np.asarray(batch.column("id"))[places], extreme_lines(x, a, 1)[:, 0]
+            near = min(len(ids), k + 1 + len(ids) - len(np.unique(ids)))  # the query itself and repeated ids may be among them
+            for i, packed in zip(range(0, len(asked), 1_024), looks, strict=True):
+                cosines = asked[i : i + 1_024] @ x.T
+                cosines[~np.unpackbits(packed, axis=1).view(bool)[:, line]] = -3
+                least = floors[i : i + 1_024]
+                if (least < -1.5).any():
+                    least = np.maximum(np.partition(cosines, len(ids) - near, axis=1)[:, len(ids) - near], least)
+                q, at = np.nonzero(cosines >= least[:, None])
+                for j, s, e in zip(*_runs(q), strict=True):
+                    best.add(i + j, ids[at[s:e]], cosines[j, at[s:e]])
+                    if len(best.cosines[i + j]) == k:
+                        floors[i + j] = max(floors[i + j], best.cosines[i + j][-1])
+        yield best.table()
+
+    return run
+
+
+def _unsettled(rows: DataFrame, left: DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids, floors and unit vectors of the queries ``left``, or None if they are more than ``SENT`` numbers."""
+    most = SENT // dimension
+    if not small(left, most):
+        return None
+    found = rows.join(F.broadcast(left), "id").select("id", "floor", "vec").distinct().limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return None
+    places, x = unit_vectors(found.column("vec"), dimension)
+    return np.asarray(found.column("id"))[places], np.asarray(found.column("floor"))[places], x
+
+
 def _best_of(found: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query over all cells, each id once."""
     once = found.groupBy("query_id", "id").agg(F.max("cosine").alias("cosine"))
@@ -350,9 +403,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
         """``queries``: ``id, floor``; only neighbours at least as near as the floor are of interest."""
         known = queries.withColumn("is_query", F.lit(True))
         marked = rows.join(broadcast_if_small(known, BROADCAST_IDS), "id", "left").select("id", "vec", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
-        spread = marked.mapInArrow(_spread(layout, wide), "cell long, stored boolean, id long, floor float, unit binary")
+        cells = marked.mapInArrow(_spread(layout, wide), "cell long, stored boolean, id long, floor float, unit binary")
         return (
-            spread.repartition(max(1, round(total * STORE / TASK_ROWS)), "cell")
+            cells.repartition(max(1, round(total * STORE / TASK_ROWS)), "cell")
             .sortWithinPartitions("cell", F.desc("stored"))
             .mapInArrow(_search(dimension, k, wide is not None), "query_id long, id long, cosine double")
         )
@@ -365,7 +418,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
     left = cut(asked.join(settled, "id", "left_anti").join(floors, "id", "left").select("id", F.coalesce("floor", nothing).alias("floor")))
     if left.isEmpty():
         return best
-    return _best_of(best.select("query_id", "id", "cosine").unionByName(search(left, share)), k)
+    sent = _unsettled(rows, left, dimension)
+    if sent is None:
+        last = search(left, share)
+    else:
+        last = spread(rows).mapInArrow(_search_sent(layout, k, share, rows.sparkSession.sparkContext.broadcast(sent)), "query_id long, id long, cosine double")
+    return _best_of(best.select("query_id", "id", "cosine").unionByName(last), k)
 
 
 def usable_dimension(stats: DataFrame) -> list[int]:

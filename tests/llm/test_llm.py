@@ -174,6 +174,27 @@ def test_neighbours_under_all_lines_are_exact(spark):
     assert got == {(q, int(i)) for q in range(20) for i in np.argsort(-(u @ u[q]))[1:6]}
 
 
+def test_unsettled_neighbours_do_not_shuffle_the_vectors_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 24))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(499, [float(v) for v in x[0] + 0.01 * x[1]])] * 30 + [(3, None)]  # an id delivered often, also with another vector
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    u, delivered = x / np.linalg.norm(x, axis=1)[:, None], (x[0] + 0.01 * x[1]) / np.linalg.norm(x[0] + 0.01 * x[1])
+    asked, shuffled, spread = df.where("id < 20").select("id"), [], nearest_vectors._spread
+    monkeypatch.setattr(nearest_vectors, "_spread", lambda layout, share: shuffled.append(share) or spread(layout, share))
+    want = set()
+    for q in range(20):
+        cosines = u @ u[q]
+        cosines[499] = max(cosines[499], delivered @ u[q])
+        want |= {(q, int(i)) for i in np.argsort(-cosines) if i != q}.intersection((q, int(i)) for i in np.argsort(-cosines)[:6])
+    got = nearest_vectors.neighbours(df, asked, 24, 5, share=1.0)
+    assert found(got.select("query_id", "id")) == want and shuffled == [None]
+    half = {(r.query_id, r.id, round(r.cosine, 5)) for r in nearest_vectors.neighbours(df.where("id < 499"), asked, 24, 5).collect()}
+    monkeypatch.setattr(nearest_vectors, "SENT", 0)
+    assert half == {(r.query_id, r.id, round(r.cosine, 5)) for r in nearest_vectors.neighbours(df.where("id < 499"), asked, 24, 5).collect()} and shuffled[-1] == nearest_vectors.WIDE
+
+
 # 5: cutoffs
 
 SCORES = "experiment string, model string, category string, sample_id string, split string, label string, score double, cutoff string"
